@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def base_folder(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where the setting is absent and Spark runs in one process."""
@@ -35,11 +37,20 @@ class Scratch:
         self.root = f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def settle(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the reread table. Its schema is kept, also without rows."""
+    def settle(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return the reread table. Its schema is kept, also without rows.
+
+        batch_rows: rows of an Arrow batch meanwhile; lower for wide rows, to bound a worker's memory.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_BATCH, "10000")
+        if batch_rows:
+            self.spark.conf.set(_BATCH, str(batch_rows))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before or "10000")
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
