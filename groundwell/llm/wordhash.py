@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII bytes that are neither letters nor digits.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = 0x9E3779B97F4A7C15
@@ -69,9 +72,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each row): word i covers bytes starts[i]:ends[i]."""
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     first = np.empty(len(data), bool)
     last = np.empty(len(data), bool)
     if len(data):
