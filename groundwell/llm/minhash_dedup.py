@@ -8,11 +8,13 @@ half_width`` minhashes: about the square root of what independent tables take.
 With side = 10 and half_width = 2 a pair at similarity 0.8 shares no table with probability
 below 1e-4, and each candidate is then confirmed on its full shingle sets.
 
-Work on groups stays linear. Texts with equal sets become one class. In each bucket only the
-links to the bucket's smallest class are tested first; most buckets then lie in one component.
-In those that don't, each member outside the leader's component is tested against the members of
-other components, so no link between different components is lost. A one-permutation sketch of
-256 bits and the set sizes discard pairs far below the threshold before any set is read.
+No group is expanded into its pairs. Texts with equal sets become one class. In each bucket the
+links to the bucket's smallest class, its centre, are confirmed first, and components are made.
+Members that share a centre but not a component are then compared in blocks of bounded size by
+their differences to the centre, which gives exact similarities and emits a spanning forest only.
+The few members that a centre's sketch shows to be unlike it are compared with the members of
+their buckets that have another component. A one-permutation sketch of 256 bits and the set sizes
+discard pairs far below the threshold before any set is read.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; a text with fewer
 words than a shingle is one shingle; a null id is never linked and is kept; rows that share an id
@@ -33,7 +35,11 @@ from .scratch import Scratch
 
 SKETCH_BITS = 256
 #: Texts with fewer shingles than this skip the sketch test, as their sketches vary more.
-SKETCH_LEAST = 200
+SKETCH_LEAST = 100
+#: Percent of similarity to a centre, by sketch, from which a class is compared by its difference to it.
+STAR_PERCENT = 30
+#: Members of a star that are compared at a time with as many others.
+STAR_BLOCK = 384
 #: Ids of candidate texts are broadcast up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -121,14 +127,85 @@ def _confirmer(percent: int):
     return confirm
 
 
-def _near(x: str, y: str, percent: int):
-    """Whether two sketched classes can reach the threshold: by size surely, by sketch at 6 deviations or so."""
+def _star_tester(percent: int, kind: pa.DataType):
+    """Links between the members of one block pair of a star, from their differences to its centre.
+
+    With d(x) the symmetric difference of x and the centre, |x ^ y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)|,
+    so the exact similarity of x and y follows from short lists. Emits a spanning forest of the links
+    between different components: fewer rows than members.
+    """
+
+    def links(rows: list[dict]) -> list[tuple]:
+        m = len(rows)
+        parts = np.unique([r["part"] for r in rows], return_inverse=True)[1]
+        if parts.max(initial=0) == 0:
+            return []
+        diffs = [np.frombuffer(r["diff"], np.uint64) for r in rows]
+        size = np.array([r["n"] for r in rows], np.int64)
+        away = np.array([len(d) for d in diffs], np.int64)
+        values, place = np.unique(np.concatenate(diffs), return_inverse=True)
+        owner = np.repeat(np.arange(m), away)
+        shared = np.zeros((m, m), np.float32)
+        width = max(1, 8_000_000 // m)
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        for low in range(0, len(values), width):
+            at = slice(*np.searchsorted(place, [low, low + width]))
+            held = np.zeros((m, min(width, len(values) - low)), np.float32)
+            held[owner[at], place[at] - low] = 1
+            shared += held @ held.T
+        apart = away[:, None] + away[None] - 2 * shared.astype(np.int64)
+        both = (size[:, None] + size[None] - apart) // 2
+        linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+        linked |= parts[:, None] == parts[None]
+        left, out = np.ones(m, bool), []
+        for root in range(m):
+            stack = [root] if left[root] else []
+            left[root] = False
+            while stack:
+                i = stack.pop()
+                new = np.flatnonzero(linked[i] & left)
+                left[new] = False
+                stack += new.tolist()
+                out += [(rows[i]["v"], rows[j]["v"]) for j in new if parts[i] != parts[j]]
+        return out
+
+    def test(batches):
+        held, mark = [], None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                key = row["u"], row["low"], row["high"]
+                if key != mark:
+                    found += links(held) if held else []
+                    held, mark = [], key
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], names=["u", "v"])
+        found = links(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], names=["u", "v"])
+
+    return test
+
+
+def _differ(batches):
+    for batch in batches:
+        diffs = []
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            diffs.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(diffs, pa.binary())], names=["u", "v", "n", "part", "diff"])
+
+
+def _agreeing(x: str, y: str, percent: int):
+    """Whether two sketches may belong to sets of that similarity; small sets always may."""
     agree = F.lit(SKETCH_BITS)
     for k in range(4):
         agree = agree - F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}")))
-    small, large = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
-    least = SKETCH_BITS * (1 + (percent - 25) / 100) / 2
-    return (small * 100 >= large * percent) & ((small < SKETCH_LEAST) | (agree >= least))
+    return (F.least(f"{x}n", f"{y}n") < SKETCH_LEAST) | (agree >= SKETCH_BITS * (1 + percent / 100) / 2)
+
+
+def _near(x: str, y: str, percent: int):
+    """Whether two classes can reach the threshold: by size surely, by sketch at 5 deviations or so."""
+    return (F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * percent) & _agreeing(x, y, percent - 25)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = 10, half_width: int = 2) -> DataFrame:
@@ -171,24 +248,60 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         scratch.drop(sets)
         return links
 
-    first = scratch.settle(with_info(held.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()).where(_near("u", "v", percent)).select("u", "v"))
-    links = confirmed(first)
+    def set_table(wanted: DataFrame) -> DataFrame:
+        wanted = scratch.settle(wanted.distinct())
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        return scratch.settle(texts.join(wanted, "id", "left_semi").mapInArrow(_set_reader(shingle), f"id {kind}, packed binary"), batch_rows=2000)
+
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        for end in ("u", "v"):
+            pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("packed").alias("p" + end)), end)
+        return pairs
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The linked ones of distinct candidate pairs (u, v)."""
+        return scratch.settle(with_sets(pairs, sets).select("u", "v", "pu", "pv").mapInArrow(_confirmer(percent), f"u {kind}, v {kind}"), batch_rows=200)
+
+    stars = with_info(held.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct())
+    stars = scratch.settle(stars.withColumn("like", _agreeing("u", "v", STAR_PERCENT)).withColumn("near", _near("u", "v", percent)).select("u", "v", F.col("vn").alias("n"), "like", "near"))
+    first = stars.where("near").select("u", "v")
+    sets = set_table(first.select(F.explode(F.array("u", "v")).alias("id")))
+    links = confirmed(first, sets)
+    scratch.drop(sets)
     part = component_of(scratch, links)
 
-    placed = scratch.settle(
-        held.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    )
-    mixed = scratch.settle(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"), F.min(F.when(F.col("rep") == F.col("lead"), F.col("part"))).alias("lead_part")).where("p < q and m > 2").select("key", "lead_part"))
+    # Members of one star in different components, in blocks.
+    near_parts = stars.where("like").join(part.withColumnRenamed("node", "v"), "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component")
+    near_parts = scratch.settle(near_parts.select("u", "v", "n", "part"))
+    split = near_parts.groupBy("u").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p < q")
+    split = scratch.settle(split.select("u", F.ceil(F.col("m") / STAR_BLOCK).cast("int").alias("blocks")))
+    members = scratch.settle(near_parts.join(split, "u"))
+    sets = set_table(members.select(F.explode(F.array("u", "v")).alias("id")))
+    moved = scratch.settle(with_sets(members.select("u", "v", "n", "part"), sets).select("u", "v", "n", "part", "pu", "pv").mapInArrow(_differ, f"u {kind}, v {kind}, n long, part {kind}, diff binary"), batch_rows=200)
+    scratch.drop(sets, members, near_parts)
+    dealt = moved.join(split, "u").withColumn("own", F.pmod(F.xxhash64("v"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("u", F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"), "v", "n", "part", "diff")
+    dealt = dealt.repartition("u", "low", "high").sortWithinPartitions("u", "low", "high", "part", "v")
+    arrow_kind = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    links = scratch.settle(links.unionByName(dealt.mapInArrow(_star_tester(percent, arrow_kind), f"u {kind}, v {kind}")), batch_rows=500)
+
+    # Members unlike their centre, with the members of their buckets in other components.
+    unlike = stars.where("not like").select(F.col("u").alias("lead"), F.col("v").alias("rep"), F.lit(True).alias("unlike"))
+    crowded = held.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
+    placed = held.where("rep <> lead").join(crowded, "key").join(unlike, ["lead", "rep"], "left").join(part.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = scratch.settle(placed.select("key", "rep", F.coalesce("unlike", F.lit(False)).alias("unlike"), F.coalesce("component", "rep").alias("part")))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("unlike").alias("some")).where("p < q and some").select("key")
     scratch.drop(held)
-    rest = scratch.settle(placed.join(mixed, "key").where("rep <> lead").join(info, "rep"))
+    rest = scratch.settle(placed.join(scratch.settle(mixed), "key").join(info, "rep"))
     scratch.drop(placed)
-    renamed = {x: rest.select("key", *(F.col(c).alias(x + c) for c in ("rep", "part", "lead_part", "n", "s0", "s1", "s2", "s3"))) for x in ("u", "v")}
-    outside = renamed["u"].where("upart <> ulead_part")
-    second = outside.join(renamed["v"], "key").where("upart <> vpart and (vpart = vlead_part or urep < vrep)").where(_near("u", "v", percent))
+    ends = {x: rest.select("key", *(F.col(c).alias(x + c) for c in ("rep", "unlike", "part", "n", "s0", "s1", "s2", "s3"))) for x in ("u", "v")}
+    second = ends["u"].where("uunlike").join(ends["v"], "key").where("upart <> vpart and (not vunlike or urep < vrep)").where(_near("u", "v", percent))
     second = scratch.settle(second.select(F.least("urep", "vrep").alias("u"), F.greatest("urep", "vrep").alias("v")).distinct())
+    scratch.drop(rest)
     if second.count():
-        links = scratch.settle(links.unionByName(confirmed(second)))
-        part = component_of(scratch, links)
+        links = scratch.settle(links.unionByName(confirmed(second, set_table(second.select(F.explode(F.array("u", "v")).alias("id"))))))
+    part = component_of(scratch, links)
 
     ids = classed.select("id", "rep").distinct()
     # Rows of one id with different texts join the classes of all their texts.
