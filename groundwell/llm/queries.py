@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, line_dedup
 from .bit_sliced_topk import top_k
+from .brown_lm import language_scores
 from .decontaminate import contamination
 from .license_scan import scan
 from .minhash_dedup import near_duplicates
@@ -36,6 +37,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +68,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_line_dedup, op6_toxicity, op7_license_scan, op8_url_filter, op9_byte_bpe, op10_bit_sliced_topk)
+    f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_line_dedup, op5_brown_lm, op6_toxicity, op7_license_scan, op8_url_filter, op9_byte_bpe, op10_bit_sliced_topk)
 }
 ORACLE: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
