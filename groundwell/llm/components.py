@@ -26,17 +26,18 @@ def component_of(scratch: Scratch, edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = scratch.settle(edges)
     mark = _mark(edges)
+    rows = mark[0]  # no step makes more rows than twice the edges
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = scratch.settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows=2 * rows)
+        large = scratch.settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), rows=rows)
         scratch.drop(least)
-        least = scratch.settle(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = scratch.settle(large.groupBy("u").agg(F.min("v").alias("m")), rows=rows)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.settle(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        new = scratch.settle(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), rows=2 * rows)
         scratch.drop(least, large, edges)
         edges, before, mark = new, mark, _mark(new)
         if mark == before:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return scratch.settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+    return scratch.settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), rows=2 * rows)

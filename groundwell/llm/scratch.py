@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Narrow rows in a file, where their number is known.
+FILE_ROWS = 250_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,11 +39,14 @@ class Scratch:
         self.root = f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def settle(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    def settle(self, df: DataFrame, batch_rows: int | None = None, rows: int | None = None) -> DataFrame:
         """Write ``df`` and return the reread table. Its schema is kept, also without rows.
 
         batch_rows: rows of an Arrow batch meanwhile; lower for wide rows, to bound a worker's memory.
+        rows: a bound of the result's narrow rows, where it is known; it sets the number of files.
         """
+        if rows is not None:
+            df = df.coalesce(-(-rows // FILE_ROWS) or 1)
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
         before = self.spark.conf.get(_BATCH, "10000")
