@@ -13,6 +13,7 @@ from .brown_lm import language_scores
 from .decontaminate import contamination
 from .license_scan import scan
 from .minhash_dedup import near_duplicates
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
 from .url_filter import judge
 
@@ -37,6 +38,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +74,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_line_dedup, op5_brown_lm, op6_toxicity, op7_license_scan, op8_url_filter, op9_byte_bpe, op10_bit_sliced_topk)
+    f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_line_dedup, op4_suffix_dedup, op5_brown_lm, op6_toxicity, op7_license_scan, op8_url_filter, op9_byte_bpe, op10_bit_sliced_topk)
 }
 ORACLE: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
