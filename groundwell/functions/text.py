@@ -46,7 +46,7 @@ def digits(text: Column) -> Column:
 
 
 def luhn_valid(number: Column) -> Column:
-    return F.luhn_check(number)
+    return F.call_function("luhn_check", number)
 
 
 def national_id_valid(number: Column) -> Column:
@@ -89,16 +89,22 @@ def cache_key(query: Column, chunk_ids: Column, *versions: Column) -> Column:
 
 
 def entropy_terms(text: Column) -> Column:
-    """Shannon entropy in bits per character; 0 for an empty text. Works on sorted characters in one fold."""
+    """Shannon entropy in bits per character; 0 for an empty text.
+
+    One fold over the sorted characters sums k * log2(k) over the runs; the entropy is log2(n) - sum / n.
+    """
     chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    n = F.size(chars).cast("double")
-    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h"))
+    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h"), F.lit(0.0).alias("n"))
 
-    def closed(s: Column) -> Column:
-        return s["h"] - F.when(s["k"] > 0, s["k"] / n * F.log2(s["k"] / n)).otherwise(0.0)
+    def run(s: Column) -> Column:
+        return s["h"] + F.when(s["k"] > 1, s["k"] * F.log2(s["k"])).otherwise(0.0)
 
     def add(s: Column, c: Column) -> Column:
-        same = F.struct(s["c"].alias("c"), (s["k"] + 1.0).alias("k"), s["h"].alias("h"))
-        return F.when(s["c"] == c, same).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("k"), closed(s).alias("h")))
+        n = (s["n"] + 1.0).alias("n")
+        same = F.struct(s["c"].alias("c"), (s["k"] + 1.0).alias("k"), s["h"].alias("h"), n)
+        return F.when(s["c"] == c, same).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("k"), run(s).alias("h"), n))
+
+    def finish(s: Column) -> Column:
+        return F.when(s["n"] > 0, F.log2(s["n"]) - run(s) / s["n"]).otherwise(0.0)
 
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.aggregate(chars, zero, add, closed))
+    return F.aggregate(chars, zero, add, finish)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +135,6 @@ def structural_pieces(text: str, size: int, overlap: int) -> list[tuple[str, str
 
 def chunk_structural(docs: DataFrame, *, size: int = 500, overlap: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Like ``chunk_paragraphs`` by headings, tables and glossary lines; the stateful parse runs in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<content_type:string,text:string>>")
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"content_type": k, "text": v} for k, v in structural_pieces(t or "", size, overlap)])

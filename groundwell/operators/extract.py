@@ -7,6 +7,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -192,8 +193,6 @@ def extract(df: DataFrame, schema: Schema, generate, *, text_col: str = "text",
     reply parses and validates; missing values are never retried, empty texts never sent. screen blocks
     rows with an injection, masked replaces personal data first.
     """
-    import pandas as pd
-
     if masked:
         df = mask(df, text_col)
     reason = injection_reason(F.col(text_col)) if screen else F.lit("ok")
@@ -294,8 +293,6 @@ def summary(context: str | None) -> str:
 
 def summarise(context: Column) -> Column:
     """``summary`` in Arrow batches, for contexts of arbitrary shape."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(summary)

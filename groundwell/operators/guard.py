@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +54,6 @@ def injection_reason(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode normal form KC; Spark has no such function, so an Arrow function does it where the text is not ASCII."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
