@@ -7,7 +7,7 @@ placeholder. Digits are ASCII digits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digits, luhn_valid, national_id_valid
@@ -47,25 +47,45 @@ STAGES = (
 LABELS = (EMAIL, TOKEN, IP, CARD, NATIONAL_ID, PHONE)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value bound to a variable: a chain of stages stays linear in size however often each uses it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _stage(text: Column, label: str, pattern: str, valid) -> Column:
+    """struct(t: the text after the stage, n: its replacements)."""
+    if valid is None:
+        n = F.regexp_count(text, F.lit(pattern))
+        return F.struct(F.regexp_replace(text, pattern, label).alias("t"), n.alias("n"))
+    pieces = F.split(text, pattern, -1)
+
+    def replaced(matches: Column) -> Column:
+        after = F.transform(matches, lambda m: F.when(valid(digits(m)), F.lit(label)).otherwise(m))
+        return _bound(after, lambda r: F.struct(
+            F.array_join(F.zip_with(pieces, r, lambda piece, x: F.concat(piece, F.coalesce(x, F.lit("")))), "").alias("t"),
+            F.size(F.filter(r, lambda x: x == label)).alias("n"),
+        ))
+
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), 0), replaced)
+
+
+def masked(text: Column, stages=STAGES) -> Column:
+    """struct(text, counts): the text after all stages and the replacements of each."""
+
+    def after(i: int, t: Column, counts: list[Column]) -> Column:
+        if i == len(stages):
+            return F.struct(t.alias("text"), F.array(*counts).alias("counts"))
+        return _bound(_stage(t, *stages[i]), lambda s: after(i + 1, s["t"], [*counts, s["n"]]))
+
+    return after(0, text, [])
+
+
 def mask(df: DataFrame, text_col: str = "text", *, stages=STAGES, counts_col: str = "redactions") -> DataFrame:
-    """``df`` with the text masked and a map of label to count (labels that hit, in order of first hit)."""
-    out = df.withColumn("_t", F.col(text_col))
-    numbers: dict[str, list[str]] = {}
-    for i, (label, pattern, valid) in enumerate(stages):
-        count = f"_n{i}"
-        numbers.setdefault(label, []).append(count)
-        if valid is None:
-            out = out.withColumn(count, F.regexp_count("_t", F.lit(pattern))).withColumn("_t", F.when(F.col(count) > 0, F.regexp_replace("_t", pattern, label.replace("$", "\\$"))).otherwise(F.col("_t")))
-            continue
-        out = out.withColumn("_m", F.regexp_extract_all("_t", F.lit(pattern), 0))
-        out = out.withColumn("_r", F.transform("_m", _replacer(valid, label)))
-        out = out.withColumn(count, F.coalesce(F.size(F.filter(F.zip_with("_m", "_r", lambda a, b: a != b), lambda x: x)), F.lit(0)))
-        joined = F.array_join(F.zip_with(F.split("_t", pattern, -1), F.col("_r"), lambda piece, r: F.concat(piece, F.coalesce(r, F.lit("")))), "")
-        out = out.withColumn("_t", F.when(F.col(count) > 0, joined).otherwise(F.col("_t"))).drop("_m", "_r")
-    entries = [F.struct(F.lit(label).alias("key"), sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0)).cast("int").alias("value")) for label, columns in numbers.items()]
-    counts = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] > 0))
-    return out.withColumns({text_col: F.col("_t"), counts_col: counts}).drop("_t", *(c for columns in numbers.values() for c in columns))
-
-
-def _replacer(valid, label: str):
-    return lambda m: F.when(valid(digits(m)), F.lit(label)).otherwise(m)
+    """``df`` with the text masked and a map of label to count (labels that hit, in order of their stages)."""
+    out = df.withColumn("_m", F.when(F.col(text_col).isNotNull(), masked(F.col(text_col), stages)))
+    places: dict[str, list[int]] = {}
+    for i, (label, _, _) in enumerate(stages):
+        places.setdefault(label, []).append(i)
+    total = lambda of: sum((F.coalesce(F.get(F.col("_m.counts"), i), F.lit(0)) for i in of), F.lit(0)).cast("int")
+    entries = F.array(*(F.struct(F.lit(label).alias("key"), total(of).alias("value")) for label, of in places.items()))
+    return out.withColumns({text_col: F.col("_m.text"), counts_col: F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))}).drop("_m")
