@@ -202,9 +202,9 @@ HYBRID_CTE = f"""{FUSED_CTE}, n AS (SELECT query_id, chunk_id, rrf, 0.5 * ({_NOR
 h AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS INTEGER) AS rank, score FROM n)"""
 
 
-@query(f"WITH {HYBRID_CTE} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM h WHERE rank <= 20")
+@query(f"WITH {HYBRID_CTE} SELECT query_id, chunk_id, rank, round(score + 1e-9::DOUBLE, 5) AS score FROM h WHERE rank <= 20")
 def hybrid_scores(spark, folder):
-    return retrieve.hybrid(*_sides(spark, folder)).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return retrieve.hybrid(*_sides(spark, folder)).select("query_id", "chunk_id", "rank", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
 
 @query(f"""WITH {BM25_CTE}, r AS (SELECT * FROM ({TOP.format(table='s')}) WHERE rank <= 20),
