@@ -51,10 +51,18 @@ def _without(words: str, p: str) -> str:
     return f"concat(slice({words}, 1, {p}), slice({words}, {p} + 2, size({words})))"
 
 
+def _plain(line: Column) -> Column:
+    """The line with single spaces between words; lines that hold no other white space skip the pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for space in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(space))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, line, h): the word hashes of each line of (id, text); null for a blank line."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("id", "line", F.trim(F.regexp_replace("raw", r"[ \t\x0B\f\r]+", " ")).alias("norm"))
+    lines = lines.select("id", "line", _plain(F.col("raw")).alias("norm"))
     return lines.select("id", "line", F.when(F.col("norm") != "", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("h"))
 
 
@@ -67,8 +75,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     half = lambda size, side: F.expr(f"case when n >= {NEAR_WORDS} then xxhash64('{side}', {size}, slice(h, {'1' if side == 'first' else f'n - {size} + 1'}, {size})) end")
     halves = {f"k{i}": half(size, side) for i, (size, side) in enumerate((s, e) for s in ("n div 2", "(n - 1) div 2") for e in ("first", "last"))}
     keyed = keyed.select("id", "line", "n", position.alias("pos"), F.xxhash64("h").alias("whole"), F.xxhash64(F.lit(7), "h").alias("check"), *(c.alias(k) for k, c in halves.items()))
-    keyed = keyed.withColumn("blank", F.col("n") == 0)
-    classes = scratch.settle(keyed.where("not blank").groupBy("whole", "check", "n").agg(F.min("pos").alias("pos"), *(F.min(k).alias(k) for k in halves)))
+    classes = scratch.settle(keyed.where("n > 0").groupBy("whole", "check", "n").agg(F.min("pos").alias("pos"), *(F.min(k).alias(k) for k in halves)))
 
     # Classes that share a half with another class.
     keys = F.expr("array_distinct(filter(array(k0, k1, k2, k3), k -> k is not null))")
@@ -82,6 +89,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     # The earliest line of each (variant, deleted word); p = -1 is the line itself.
     variants = words.select("pos", F.expr(f"explode(transform(sequence(-1, size(h) - 1), p -> named_struct('p', p, 'v', if(p < 0, xxhash64(h), xxhash64({_without('h', 'p')})))))").alias("x")).select("pos", "x.p", "x.v")
+    variants = scratch.settle(variants)
     first = variants.groupBy("v", "p").agg(F.min("pos").alias("same"), F.count("*").alias("lines"))
     by_variant = Window.partitionBy("v")
     first = first.withColumns({"plain": F.min(F.when(F.col("p") < 0, F.col("same"))).over(by_variant), "cut": F.min(F.when(F.col("p") >= 0, F.col("same"))).over(by_variant), "all": F.sum("lines").over(by_variant)})
@@ -96,12 +104,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = scratch.settle(ends.where(within).select("pos").distinct())
 
     kept = classes.select("pos").join(near, "pos", "left_anti").select(id_of.alias("id"), line_of.alias("line"))
-    kept = kept.unionByName(keyed.where("blank").select("id", "line")).groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("_kept"))
+    kept = kept.groupBy("id").agg(F.collect_set("line").alias("_kept"))
     added = ("n_lines", "n_kept", "n_removed")
     rest = docs.drop(*added)
     kept = kept.withColumnRenamed("id", "_id")
     out = rest.join(kept, rest[id_col].eqNullSafe(kept["_id"]), "left").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    picked = F.transform(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: F.get("_lines", i))
+    blank = F.filter(F.transform("_lines", lambda line, i: F.when(_plain(line) == "", i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    out = out.withColumn("_all", F.array_sort(F.array_union(F.coalesce("_kept", none), F.coalesce(blank, none))))
+    picked = F.transform("_all", lambda i: F.get("_lines", i))
     picked = F.filter(picked, lambda line: line.isNotNull())
     out = out.withColumn("_picked", F.when(F.col(text_col).isNotNull(), picked))
     n_lines, n_kept = (F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), F.col(c))), F.lit(0)).cast("long") for c in ("_lines", "_picked"))
@@ -113,7 +124,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 #: DuckDB SQL of doc_id, n_lines, n_kept, n_removed and the SHA-256 of the text that is left.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[ 	]+', ' ', 'g'), ' ') AS norm
+l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[ 	
+]+', ' ', 'g'), ' ') AS norm
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 f AS (SELECT norm, min((doc_id, i)) AS pos, string_split(norm, ' ') AS ws FROM l WHERE norm <> '' GROUP BY norm),
 v AS (SELECT pos, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS v
