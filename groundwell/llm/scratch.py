@@ -8,6 +8,7 @@ Spark choose broadcast joins and split skewed partitions by itself.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm

@@ -6,7 +6,7 @@ operator therefore sorts no suffixes: it compares sampled suffixes by fingerprin
 
 1. Every start i of a string of ``length`` bytes has an anchor: the place of the smallest hash of
    ``GRAM`` bytes among the ``REACH`` places from i. The anchor depends on the string's own bytes, so
-   equal strings have their anchors at equal offsets. About one place in 30 is an anchor.
+   equal strings have their anchors at equal offsets. About one place in 65 is an anchor.
 2. Strings with equal bytes agree from the anchor on for ``length - REACH + 1`` bytes at least.
    Anchors whose right context occurs once are dropped. Where all anchors of a right context also
    agree in the whole context of their starts, or two anchors do, all their starts repeat.
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from . import wordhash as wh
 from .scratch import Scratch
 
-REACH = 64
+REACH = 128
 GRAM = 16
+#: Repeated right contexts (8 bytes each) are broadcast up to this many.
+BROADCAST_RIGHTS = 2_000_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = [wh.mix(np.arange(1, 257, dtype=_U) * _U(b)) for b in _BASES]
@@ -161,10 +163,18 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("doc", F.xxhash64("id", "text"))
     long_texts = texts.where(F.octet_length("text") >= length)
     found = scratch.settle(long_texts.select("doc", "text").mapInArrow(_find_anchors(length), "doc long, low int, high int, right long, whole long"), batch_rows=2000)
-    rights = found.groupBy("right").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
-    rights = scratch.settle(rights.select("right", (F.col("a") != F.col("b")).alias("mixed")))
-    shared = scratch.settle(found.join(rights, "right"))
+    rights = scratch.settle(found.groupBy("right").count().where("count > 1").select("right"))
+    scratch.sweep()
+    # Below the bound the repeated contexts are broadcast and only anchors that repeat are moved.
+    known = F.broadcast(rights) if rights.count() <= BROADCAST_RIGHTS else rights
+    repeated = scratch.settle(found.join(known, "right"))
     scratch.drop(found, rights)
+    scratch.sweep()
+    kinds = repeated.groupBy("right").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
+    kinds = scratch.settle(kinds.select("right", (F.col("a") != F.col("b")).alias("mixed")))
+    shared = scratch.settle(repeated.join(kinds, "right"))
+    scratch.drop(repeated, kinds)
+    scratch.sweep()
     mixed = shared.where("mixed")
     contexts = scratch.settle(mixed.groupBy("right", "whole").agg(F.count("*").alias("n"), F.min("doc").alias("least")))
     placed = scratch.settle(mixed.join(contexts, ["right", "whole"]).select("doc", "low", "high", (F.col("n") > 1).alias("all"), (F.col("doc") == F.col("least")).alias("speaks")))
@@ -172,9 +182,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     runs = scratch.settle(placed.where("speaks").groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("runs")))
     starts = long_texts.select("doc", "text").join(runs, "doc").select("doc", "text", "runs").mapInArrow(_print_starts(length), "doc long, start int, h1 long, h2 long")
     starts = scratch.settle(starts, batch_rows=500)
+    scratch.sweep()
     again = scratch.settle(starts.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     single = starts.join(again, ["h1", "h2"]).select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
     per_doc = scratch.settle(ranges.unionByName(single).groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
+    scratch.drop(shared, contexts, placed, runs, starts, again)
+    scratch.sweep()
     copies = scratch.settle(texts.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1"))
     whole = texts.join(copies, "doc", "left").join(per_doc, "doc", "left").select("id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "ranges")
     return whole.mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>").withColumnRenamed("id", id_col)
