@@ -9,8 +9,8 @@ value and the reverse, so a question with other numbers or names is caught as lo
 exchanged consistently. A document is contaminated if consistent windows cover at least ``least_share``
 of an item's words.
 
-The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``; beyond
-that Spark joins by shuffle.
+The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``, ids of
+candidate documents up to ``BROADCAST_IDS``; beyond that Spark joins by shuffle.
 
 Defined cases: null or blank texts hold no window; items below ``LEAST_WORDS`` words are ignored;
 items shorter than a window are one window of their own length; items with equal text count once,
@@ -28,6 +28,7 @@ from .scratch import Scratch
 WINDOW = 8
 LEAST_WORDS = 5
 BROADCAST_WINDOWS = 500_000
+BROADCAST_IDS = 2_000_000
 #: Private-use characters that stand for a number, a unit and a name.
 NUMBER, UNIT, NAME = chr(0xE000), chr(0xE001), chr(0xE002)
 #: Joins the parts of a number where its value is kept.
@@ -75,6 +76,11 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """A broadcast hint for a written table of at most BROADCAST_IDS ids; a larger one is joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least_share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, covered, n_words, share) for each document and benchmark item that it holds."""
     scratch = Scratch(docs.sparkSession, "leaks")
@@ -106,7 +112,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     hashes = _once(template_words(F.col("text")), _hashes)
     probed = texts.select("id", F.explode(_once(hashes, _sized(PROBE, stride))).alias("key"))
     candidates = scratch.settle(probed.join(probes, "key", "left_semi").select("id").distinct())
-    some = texts.join(candidates.withColumnRenamed("id", "_id"), texts["id"].eqNullSafe(F.col("_id")), "left_semi")
+    candidates = _bounded(candidates.withColumnRenamed("id", "_id"))
+    some = texts.join(candidates, texts["id"].eqNullSafe(F.col("_id")), "left_semi")
     placed = None
     for size in sizes:
         of_size = some.select("id", F.posexplode(_once(hashes, _sized(size))).alias("place", "key"))
@@ -114,8 +121,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     hits = scratch.settle(placed.join(table, "key").select("id", "item", "place", "at", "size").distinct())
 
     # Slots of the documents that have hits: each word with the value it stands for.
-    touched = scratch.settle(hits.select("id").distinct())
-    filled = texts.join(touched, texts["id"].eqNullSafe(touched["id"]), "left_semi").select("id", template_words(F.col("text"), True).alias("filled"))
+    touched = _bounded(scratch.settle(hits.select(F.col("id").alias("_id")).distinct()))
+    filled = texts.join(touched, texts["id"].eqNullSafe(F.col("_id")), "left_semi").select("id", template_words(F.col("text"), True).alias("filled"))
     slots = filled.select("id", F.posexplode("filled").alias("place", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     theirs = items.select("item", F.posexplode("filled").alias("at", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     words_hit = hits.select("id", "item", (F.col("place") - F.col("at")).alias("offset"), "size", "at").withColumn("at", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)))
