@@ -51,6 +51,19 @@ def _without(words: str, p: str) -> str:
     return f"concat(slice({words}, 1, {p}), slice({words}, {p} + 2, size({words})))"
 
 
+#: SQL of (p, v) for the word hashes h: p = -1 and the hash of the line, then p and the hash without word p.
+#: The hash of a sequence is the exclusive or of the hashes of (place, word), so each deletion follows
+#: from the one before it in two steps.
+_VARIANTS = """
+get(transform(array(transform(h, (x, i) -> xxhash64(i, x))), own ->
+ get(transform(array(transform(h, (x, i) -> xxhash64(i - 1, x))), moved ->
+  transform(
+   aggregate(sequence(0, size(h) - 1),
+    array(aggregate(own, 0L, (s, x) -> s ^ x), aggregate(slice(moved, 2, size(h)), 0L, (s, x) -> s ^ x)),
+    (v, p) -> if(p = 0, v, concat(v, array(element_at(v, -1) ^ moved[p] ^ own[p - 1])))),
+   (v, i) -> named_struct('p', i - 1, 'v', v))), 0)), 0)"""
+
+
 def _plain(line: Column) -> Column:
     """The line with single spaces between words; lines that hold no other white space skip the pattern."""
     odd = F.contains(line, F.lit("  "))
@@ -60,10 +73,9 @@ def _plain(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, h): the word hashes of each line of (id, text); null for a blank line."""
+    """(id, line, norm): each line of (id, text) with single spaces between its words; not the blank ones."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("id", "line", _plain(F.col("raw")).alias("norm"))
-    return lines.select("id", "line", F.when(F.col("norm") != "", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("h"))
+    return lines.select("id", "line", _plain(F.col("raw")).alias("norm")).where("norm <> ''")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,11 +83,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "lines")
     position, id_of, line_of = _order(docs.schema[id_col].dataType)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = _lines(texts).withColumn("n", F.when(F.col("h").isNull(), 0).otherwise(F.size("h")))
-    half = lambda size, side: F.expr(f"case when n >= {NEAR_WORDS} then xxhash64('{side}', {size}, slice(h, {'1' if side == 'first' else f'n - {size} + 1'}, {size})) end")
-    halves = {f"k{i}": half(size, side) for i, (size, side) in enumerate((s, e) for s in ("n div 2", "(n - 1) div 2") for e in ("first", "last"))}
-    keyed = keyed.select("id", "line", "n", position.alias("pos"), F.xxhash64("h").alias("whole"), F.xxhash64(F.lit(7), "h").alias("check"), *(c.alias(k) for k, c in halves.items()))
-    classes = scratch.settle(keyed.where("n > 0").groupBy("whole", "check", "n").agg(F.min("pos").alias("pos"), *(F.min(k).alias(k) for k in halves)))
+    keyed = _lines(texts).withColumn("n", F.expr("length(norm) - length(replace(norm, ' ', '')) + 1"))
+    half = lambda size, sign: F.expr(f"case when n >= {NEAR_WORDS} then xxhash64({sign}1, {size}, substring_index(norm, ' ', {sign}({size}))) end")
+    halves = {f"k{i}": half(size, sign) for i, (size, sign) in enumerate((s, e) for s in ("n div 2", "(n - 1) div 2") for e in ("", "-"))}
+    keyed = keyed.select("id", "line", "n", position.alias("pos"), F.xxhash64("norm").alias("whole"), F.xxhash64(F.lit(7), "norm").alias("check"), *(c.alias(k) for k, c in halves.items()))
+    classes = scratch.settle(keyed.groupBy("whole", "check", "n").agg(F.min("pos").alias("pos"), *(F.min(k).alias(k) for k in halves)))
 
     # Classes that share a half with another class.
     keys = F.expr("array_distinct(filter(array(k0, k1, k2, k3), k -> k is not null))")
@@ -83,12 +95,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     close = scratch.settle(classes.select("pos", F.explode(keys).alias("key")).join(shared, "key").select("pos").distinct().select("pos", id_of.alias("id"), line_of.alias("line")))
     some = scratch.settle(close.select("id").distinct())
     # Below the session's own broadcast limit Spark sends these ids to the scan; beyond it, it joins by shuffle.
-    nearby = _lines(texts.join(some, texts["id"].eqNullSafe(some["id"]), "left_semi")).where("h is not null").withColumn("pos", position)
-    words = scratch.settle(nearby.select("pos", "h").join(close.select("pos"), "pos").dropDuplicates(["pos", "h"]))
+    nearby = _lines(texts.join(some, texts["id"].eqNullSafe(some["id"]), "left_semi")).select(position.alias("pos"), "norm")
+    words = nearby.join(close.select("pos"), "pos").dropDuplicates(["pos", "norm"])
+    words = scratch.settle(words.select("pos", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")))
     scratch.drop(shared, some, close)
 
     # The earliest line of each (variant, deleted word); p = -1 is the line itself.
-    variants = words.select("pos", F.expr(f"explode(transform(sequence(-1, size(h) - 1), p -> named_struct('p', p, 'v', if(p < 0, xxhash64(h), xxhash64({_without('h', 'p')})))))").alias("x")).select("pos", "x.p", "x.v")
+    variants = words.select("pos", F.expr(f"explode({_VARIANTS})").alias("x")).select("pos", "x.p", "x.v")
     variants = scratch.settle(variants)
     first = variants.groupBy("v", "p").agg(F.min("pos").alias("same"), F.count("*").alias("lines"))
     by_variant = Window.partitionBy("v")
