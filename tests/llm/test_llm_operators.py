@@ -133,6 +133,40 @@ def test_class_model_sums_to_one():
     assert set(cls[:40]) <= set(range(5)) and list(cls[40:]) == [5, 6]
 
 
+@pytest.mark.parametrize("lookup", [6, 12, 1 << 18])
+def test_every_word_has_a_class(spark, monkeypatch, lookup):
+    monkeypatch.setattr(brown_lm, "EXCHANGE_WORDS", 6)
+    monkeypatch.setattr(brown_lm, "LOOKUP_WORDS", lookup)
+    rng = random.Random(2)
+    kinds = [[f"{kind}{i}" for i in range(12)] for kind in ("a", "b")]
+    texts = [" ".join(rng.choices(kinds[k % 2], [70, 20, 10, *[3] * 9])[0] for k in range(40)) for _ in range(60)]
+    texts += ["a11 unseen b11 unseen unseen"] * 3
+    rows = list(enumerate(texts))
+    trains = {d for d in range(len(rows)) if zlib.crc32(str(d).encode()) % 7 != 2 and d < 60}
+    training = spark.createDataFrame([(rows[d][1],) for d in sorted(trains)], "text string")
+    model, assigned = brown_lm.train(training, brown_lm.Scratch(spark, "test"), classes=2)
+    count = collections.Counter(w for d in trains for w in [*words(texts[d]), None])
+    cls = {int(np.uint64(k)): int(c) for k, c in zip(model.words.hashes, model.words.cls, strict=True)} | {r.key % (1 << 64): r.cls for r in assigned.collect()}
+    assert len(cls) == len(count) - 1
+    data = np.frombuffer(" ".join(sum(kinds, [])).encode(), np.uint8)
+    starts, ends, _ = brown_lm.wh.word_spans(data, np.array([0, len(data)]))
+    of = dict(zip(sum(kinds, []), brown_lm.wh.word_hashes(data, starts, ends).tolist(), strict=True))
+    # Words of a kind share a class, also those outside the exchange.
+    assert all(len({cls[of[w]] for w in kind if w in count}) == 1 for kind in kinds) and cls[of["a0"]] != cls[of["b0"]]
+    # Class bigrams of all training tokens, and probabilities that sum to 1 after each class.
+    table = collections.Counter()
+    for d in trains:
+        tokens = [3, *(cls[of[w]] for w in words(texts[d])), 3]
+        table.update(zip(tokens, tokens[1:], strict=False))
+    assert list(model.size) == [sum(n for (_, c), n in table.items() if c == k) for k in range(4)]
+    assert np.allclose(model.next_class.sum(1)[[0, 1, 3]], 1)
+    got = brown_lm.language_scores(spark.createDataFrame([(d, t) for d, t in rows], SCHEMA), classes=2).collect()
+    # Without words beyond the lookup, scores are the same.
+    monkeypatch.setattr(brown_lm, "LOOKUP_WORDS", 1 << 18)
+    want = {r.doc_id: r for r in brown_lm.language_scores(spark.createDataFrame(rows, SCHEMA), classes=2).collect()}
+    assert all((r.n_known, r.score, r.base_score) == (want[r.doc_id].n_known, pytest.approx(want[r.doc_id].score), pytest.approx(want[r.doc_id].base_score)) for r in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     calm = [f"calm{i}" for i in range(80)]
