@@ -6,14 +6,17 @@ template words of the documents are hash-joined with those of the benchmark item
 windows at a stride first select the documents that can have a hit, which passes none over. On each
 diagonal (document, item, offset) the slots must agree: one benchmark value stands for one document
 value and the reverse, so a question with other numbers or names is caught as long as they are
-exchanged consistently. A document is contaminated if consistent windows cover at least ``least_share``
-of an item's words.
+exchanged consistently. Windows with fewer than half literal words, and items of fewer than
+``LEAST_WORDS`` words, say too little as templates: they are joined by the values that their
+placeholders stand for, so they are found as copies only. A document is contaminated if consistent
+windows cover at least ``least_share`` of an item's words.
 
 The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``, ids of
 candidate documents up to ``BROADCAST_IDS``; beyond that Spark joins by shuffle.
 
-Defined cases: null or blank texts hold no window; items below ``LEAST_WORDS`` words are ignored;
-items shorter than a window are one window of their own length; items with equal text count once,
+Defined cases: null or blank texts hold no window; items
+shorter than a window are one window of their own length, so that an item of one word is found in
+every document with the word; items with equal text count once,
 under the smallest id; rows that share a doc id share the verdict; null doc ids are judged together;
 extra columns are ignored.
 """
@@ -81,52 +84,75 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _windows(scratch: Scratch, parts: list[DataFrame]) -> tuple[DataFrame, int]:
+    """The written union of ``parts``, broadcast in joins if bounded, and its rows."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = scratch.settle(out)
+    n = out.count()
+    return F.broadcast(out) if n <= BROADCAST_WINDOWS else out, n
+
+
+def _words_of(hits: DataFrame) -> DataFrame:
+    """(id, item, offset, start, at) of each word of the windows, by their first word."""
+    words = hits.select("id", "item", (F.col("place") - F.col("at")).alias("offset"), F.col("at").alias("start"), "size")
+    return words.select("id", "item", "offset", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least_share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, covered, n_words, share) for each document and benchmark item that it holds."""
     scratch = Scratch(docs.sparkSession, "leaks")
     items = benchmark.where(F.col(item_text_col).isNotNull()).groupBy(F.col(item_text_col).alias("text")).agg(F.min(item_col).alias("item"))
     items = items.select("item", template_words(F.col("text")).alias("words"), template_words(F.col("text"), True).alias("filled"))
-    items = scratch.settle(items.where(F.size("words") >= LEAST_WORDS).withColumn("n", F.size("words")).withColumn("size", F.least(F.col("n"), F.lit(window))))
+    items = scratch.settle(items.where(F.size("words") > 0).withColumn("n", F.size("words")).withColumn("size", F.least(F.col("n"), F.lit(window))))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` values
     literal = lambda words: F.size(F.filter(words, lambda w: ~w.rlike(f"^[{NUMBER}{UNIT}{NAME}]")))
-    parts = []
+    parts, copies = [], []
     for size in sizes:
-        of_size = items.where(F.col("size") == size).select("item", "words", F.posexplode(_once(_hashes(F.col("words")), _sized(size))).alias("at", "key"))
-        parts.append(of_size.where(literal(F.slice("words", F.col("at") + 1, F.lit(size))) * 2 >= size).select("item", "at", "key", F.lit(size).alias("size")))
+        for column, found in (("words", parts), ("filled", copies)):
+            of_size = items.where(F.col("size") == size).select("item", "words", F.posexplode(_once(_hashes(F.col(column)), _sized(size))).alias("at", "key"))
+            telling = (literal(F.slice("words", F.col("at") + 1, F.lit(size))) * 2 >= size) & F.lit(size >= LEAST_WORDS)
+            found.append(of_size.where(telling if found is parts else ~telling).select("item", "at", "key", F.lit(size).alias("size")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     if not parts:
         return docs.select(F.col(id_col), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *(F.lit(0).cast(t).alias(c) for c, t in (("covered", "long"), ("n_words", "long"), ("share", "double")))).where("false")
-    wanted = parts[0]
-    for part in parts[1:]:
-        wanted = wanted.unionByName(part)
-    wanted = scratch.settle(wanted)
-    table = F.broadcast(wanted) if wanted.count() <= BROADCAST_WINDOWS else wanted
+    table, _ = _windows(scratch, parts)
+    copy_table, n_copied = _windows(scratch, copies)
     # A run of ``size`` template words holds a probe of PROBE words at a stride of size - PROBE + 1;
     # with the benchmark's probes at every place, no document with a window hit is passed over.
-    stride = sizes[0] - PROBE + 1
+    stride = max(1, min([size for size in sizes if size >= PROBE], default=PROBE) - PROBE + 1)
     probes = items.select(F.explode(_once(_hashes(F.col("words")), _sized(PROBE))).alias("key")).distinct()
     probes = scratch.settle(probes)
     if probes.count() <= BROADCAST_WINDOWS:
         probes = F.broadcast(probes)
     hashes = _once(template_words(F.col("text")), _hashes)
     probed = texts.select("id", F.explode(_once(hashes, _sized(PROBE, stride))).alias("key"))
-    candidates = scratch.settle(probed.join(probes, "key", "left_semi").select("id").distinct())
+    found = probed.join(probes, "key", "left_semi").select("id")
+    filled_hashes = _once(template_words(F.col("text"), True), _hashes)
+    for size in (size for size in sizes if size < PROBE):
+        short = texts.select("id", F.explode(_once(filled_hashes, _sized(size))).alias("key"))
+        found = found.unionByName(short.join(copy_table.where(F.col("size") == size), "key", "left_semi").select("id"))
+    candidates = scratch.settle(found.distinct())
     candidates = _bounded(candidates.withColumnRenamed("id", "_id"))
     some = texts.join(candidates, texts["id"].eqNullSafe(F.col("_id")), "left_semi")
-    placed = None
-    for size in sizes:
-        of_size = some.select("id", F.posexplode(_once(hashes, _sized(size))).alias("place", "key"))
-        placed = of_size if placed is None else placed.unionByName(of_size)
-    hits = scratch.settle(placed.join(table, "key").select("id", "item", "place", "at", "size").distinct())
+
+    def hits_of(hashes: Column, table: DataFrame) -> DataFrame:
+        placed = None
+        for size in sizes:
+            of_size = some.select("id", F.posexplode(_once(hashes, _sized(size))).alias("place", "key"))
+            placed = of_size if placed is None else placed.unionByName(of_size)
+        return scratch.settle(placed.join(table, "key").select("id", "item", "place", "at", "size").distinct())
+
+    hits = hits_of(hashes, table)
 
     # Slots of the documents that have hits: each word with the value it stands for.
     touched = _bounded(scratch.settle(hits.select(F.col("id").alias("_id")).distinct()))
     filled = texts.join(touched, texts["id"].eqNullSafe(F.col("_id")), "left_semi").select("id", template_words(F.col("text"), True).alias("filled"))
     slots = filled.select("id", F.posexplode("filled").alias("place", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     theirs = items.select("item", F.posexplode("filled").alias("at", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
-    words_hit = hits.select("id", "item", (F.col("place") - F.col("at")).alias("offset"), "size", "at").withColumn("at", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)))
-    words_hit = words_hit.select("id", "item", "offset", "at").distinct().withColumn("place", F.col("at") + F.col("offset"))
+    words_hit = _words_of(hits).select("id", "item", "offset", "at").distinct().withColumn("place", F.col("at") + F.col("offset"))
     words_hit = scratch.settle(words_hit)
     paired = words_hit.join(theirs.withColumnRenamed("value", "theirs"), ["item", "at"]).join(slots.select(F.col("id").alias("sid"), F.col("place").alias("splace"), F.col("value").alias("ours")), F.col("id").eqNullSafe(F.col("sid")) & (F.col("place") == F.col("splace")))
     pairs = paired.select("id", "item", "offset", "theirs", "ours").distinct()
@@ -134,7 +160,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     wrong = scratch.settle(verdict)
     same = [words_hit[c].eqNullSafe(wrong[c]) for c in ("id", "item", "offset")]
     agreed = words_hit.join(wrong, same[0] & same[1] & same[2], "left_anti")
-    covered = agreed.select("id", "item", "at").distinct().groupBy("id", "item").agg(F.count("*").alias("covered"))
+    agreed = agreed.select("id", "item", "at")
+    if n_copied:
+        agreed = agreed.unionByName(_words_of(hits_of(filled_hashes, copy_table)).select("id", "item", "at"))
+    covered = agreed.distinct().groupBy("id", "item").agg(F.count("*").alias("covered"))
     out = covered.join(items.select("item", F.col("n").cast("long").alias("n_words")), "item").withColumn("share", F.col("covered") / F.col("n_words"))
     return scratch.settle(out.where(F.col("share") >= least_share).select(F.col("id").cast(kind).alias(id_col), F.col("item").alias("item_id"), "covered", "n_words", "share"))
 

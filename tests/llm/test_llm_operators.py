@@ -88,6 +88,18 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
 
 
+def test_decontamination_of_number_heavy_and_short_items(spark):
+    sums = "Compute 12 + 35 + 7 + 9 + 4 + 18 + 3 + 51"
+    prose = "the quiet words of a longer text run on without any figure here. "
+    half = prose + "It gives 5, 6, 8, 1, 2, 3, 4, 9, 11, 13, 17, 19, 23, 29, 31, 37"
+    items = spark.createDataFrame([(1, sums), (2, half), (3, "Add 12 + 35"), (4, ""), (5, " + ")], "item_id long, text string")
+    rows = [(1, prose + sums + ". And so on"), (2, sums.replace("35", "36")), (3, prose + half), (4, prose + "Add 12 + 35!"), (5, prose + "Add 12 + 36!"), *EDGE]
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), items, least_share=0.7).collect()}
+    assert got == {(1, 1): 1.0, (3, 2): 1.0, (4, 3): 1.0}
+    only_short = decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), items.where("item_id = 3")).collect()
+    assert [(r.doc_id, r.item_id) for r in only_short] == [(4, 3)]
+
+
 def test_line_dedup(spark):
     docs = spark.createDataFrame([(1, "a b c d e f\n\nx\nx\na b c d e f g"), (2, "a b z d e f\nx\n  "), (None, None), (3, ""), (4, "b c d e f\nq"), (None, "q"), (5, "a b c d e f\ta")], SCHEMA)
     got = {(r.doc_id, r.n_lines): (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
