@@ -6,7 +6,7 @@ template words of the documents are hash-joined with those of the benchmark item
 windows at a stride first select the documents that can have a hit, which passes none over. On each
 diagonal (document, item, offset) the slots must agree: one benchmark value stands for one document
 value and the reverse, so a question with other numbers or names is caught as long as they are
-exchanged consistently. Windows with fewer than half literal words, and items of fewer than
+exchanged consistently; windows whose slots all hold the item's own values stay in any case. Windows with fewer than half literal words, and items of fewer than
 ``LEAST_WORDS`` words, say too little as templates: they are joined by the values that their
 placeholders stand for, so they are found as copies only. A document is contaminated if consistent
 windows cover at least ``least_share`` of an item's words.
@@ -23,6 +23,9 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ BROADCAST_WINDOWS = 500_000
 BROADCAST_IDS = 2_000_000
 #: Private-use characters that stand for a number, a unit and a name.
 NUMBER, UNIT, NAME = chr(0xE000), chr(0xE001), chr(0xE002)
-#: Joins the parts of a number where its value is kept.
+#: Joins the parts of a number or unit where its value is kept.
 JOINT = chr(0xE003)
 #: What separates words after lower-casing: ASCII bytes that are neither letters nor digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,6 +58,9 @@ def template_words(text: Column, values: bool = False) -> Column:
     out = F.regexp_replace(out, r" (?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", name)
     numbers = F.regexp_replace(out, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])([0-9]+)(?:[.,:/]([0-9]+))?(?:[.,:/]([0-9]+))?(?=[^\p{{L}}\p{{N}}]|$|(?:{units})(?![\p{{L}}\p{{N}}]))", number)
     units_too = F.regexp_replace(numbers, rf"({NUMBER}\S*\s+)({units})(?![\p{{L}}\p{{N}}])", unit)
+    if values:  # a unit stays one word, as its placeholder is
+        for whole in (u for u in UNITS if "/" in u):
+            units_too = F.regexp_replace(units_too, rf"{UNIT}{whole}(?![\p{{L}}\p{{N}}])", UNIT + whole.replace("/", JOINT))
     out = F.when(out.rlike("[0-9]"), units_too).otherwise(out)
     out = F.trim(F.regexp_replace(F.lower(out), SEPARATORS, " "))
     return F.when(out == "", F.array().cast("array<string>")).otherwise(F.split(out, " "))
@@ -149,18 +155,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     # Slots of the documents that have hits: each word with the value it stands for.
     touched = _bounded(scratch.settle(hits.select(F.col("id").alias("_id")).distinct()))
-    filled = texts.join(touched, texts["id"].eqNullSafe(F.col("_id")), "left_semi").select("id", template_words(F.col("text"), True).alias("filled"))
+    # Written first: else Spark derives a filter on the words and computes it for all texts, below the join.
+    held = scratch.settle(texts.join(touched, texts["id"].eqNullSafe(F.col("_id")), "left_semi"))
+    filled = held.select("id", template_words(F.col("text"), True).alias("filled"))
     slots = filled.select("id", F.posexplode("filled").alias("place", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     theirs = items.select("item", F.posexplode("filled").alias("at", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     words_hit = _words_of(hits).select("id", "item", "offset", "at").distinct().withColumn("place", F.col("at") + F.col("offset"))
     words_hit = scratch.settle(words_hit)
     paired = words_hit.join(theirs.withColumnRenamed("value", "theirs"), ["item", "at"]).join(slots.select(F.col("id").alias("sid"), F.col("place").alias("splace"), F.col("value").alias("ours")), F.col("id").eqNullSafe(F.col("sid")) & (F.col("place") == F.col("splace")))
+    paired = scratch.settle(paired.select("id", "item", "offset", "at", "theirs", "ours"))
     pairs = paired.select("id", "item", "offset", "theirs", "ours").distinct()
     verdict = pairs.groupBy("id", "item", "offset").agg(F.count("*").alias("pairs"), F.countDistinct("theirs").alias("a"), F.countDistinct("ours").alias("b")).where("pairs > a or pairs > b").select("id", "item", "offset")
     wrong = scratch.settle(verdict)
-    same = [words_hit[c].eqNullSafe(wrong[c]) for c in ("id", "item", "offset")]
-    agreed = words_hit.join(wrong, same[0] & same[1] & same[2], "left_anti")
-    agreed = agreed.select("id", "item", "at")
+
+    def matched(left: DataFrame, right: DataFrame, columns: tuple[str, ...], how: str) -> DataFrame:
+        right = right.select(*(F.col(c).alias("_" + c) for c in columns))
+        on = [left[c].eqNullSafe(right["_" + c]) for c in columns]
+        return left.join(right, reduce(and_, on), how)
+
+    diagonal = ("id", "item", "offset")
+    agreed = matched(words_hit, wrong, diagonal, "left_anti").select("id", "item", "at")
+    # On the other diagonals, windows without a changed value are copies and stay.
+    changed = paired.groupBy("id", "item", "offset", "at").agg(F.max(F.col("theirs") == F.col("ours")).alias("same")).where("not same")
+    doubtful = scratch.settle(matched(_words_of(hits), wrong, diagonal, "left_semi"))
+    spoiled = matched(doubtful, changed, (*diagonal, "at"), "left_semi").select(*diagonal, "start").distinct()
+    agreed = agreed.unionByName(matched(doubtful, spoiled, (*diagonal, "start"), "left_anti").select("id", "item", "at"))
     if n_copied:
         agreed = agreed.unionByName(_words_of(hits_of(filled_hashes, copy_table)).select("id", "item", "at"))
     covered = agreed.distinct().groupBy("id", "item").agg(F.count("*").alias("covered"))

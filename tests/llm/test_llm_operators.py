@@ -100,6 +100,22 @@ def test_decontamination_of_number_heavy_and_short_items(spark):
     assert [(r.doc_id, r.item_id) for r in only_short] == [(4, 3)]
 
 
+def test_decontamination_slots_keep_their_places(spark):
+    forms = ["he drove 60 km/h then went 30 km and later 40 km home", "at 5 km/hello or 7km/h, 3/4 km/h 2:30 hours.", "Near Paris it is 9 km/h/day (1,000.5 mph) in São Paulo", "no figure km/h here"]
+    both = spark.createDataFrame([(t,) for t in forms], "text string").select(decontaminate.template_words(F.col("text")).alias("w"), decontaminate.template_words(F.col("text"), True).alias("v"))
+    marks = (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)
+    for r in both.collect():
+        assert len(r.w) == len(r.v) and all(w == v if w[0] not in marks else w[0] == v[0] for w, v in zip(r.w, r.v, strict=True))
+    item = "he drove the car at 60 km/h then went for 30 km and later another 40 km home to the old farm"
+    long = " ".join(f"plain{i}" for i in range(12)) + " has 30 apples " + " ".join(f"middle{i}" for i in range(20)) + " has 30 apples " + " ".join(f"other{i}" for i in range(12))
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    once = long.replace("has 30", "has 31", 1)
+    rows = [(1, "before the 80 km/h zone " + item), (2, item.replace("60", "70").replace("30", "35")), (3, item.replace("30 km", "30 miles")), (4, once), (5, once.replace("has 30", "has 32"))]
+    got = {(r.doc_id, r.item_id): r.covered for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), items, least_share=0.3).collect()}
+    # A changed value drops the windows that hold it if the rest is a copy.
+    assert got == {(1, 1): 22, (2, 1): 22, (3, 1): 21, (4, 2): 49, (5, 2): 48}
+
+
 def test_line_dedup(spark):
     docs = spark.createDataFrame([(1, "a b c d e f\n\nx\nx\na b c d e f g"), (2, "a b z d e f\nx\n  "), (None, None), (3, ""), (4, "b c d e f\nq"), (None, "q"), (5, "a b c d e f\ta")], SCHEMA)
     got = {(r.doc_id, r.n_lines): (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
