@@ -76,6 +76,18 @@ def test_minhash_components(docs, rows):
     assert all((r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id) for r in got)
 
 
+def test_minhash_pairs_with_unlike_sketches(spark):
+    # Pairs of 100 shingles at similarity 0.802 whose sketches agree in fewer than 198.4 of 256 bits.
+    rows = []
+    for k, seed in enumerate([968, 1062, 1081, 1946, 2845, 3231, 3443, 3501, 3926]):
+        rng = random.Random(seed)
+        text = [f"w{rng.randrange(10**6)}" for _ in range(103)]
+        other = ["x" if i == 2 else "y" if i == 30 else "z" if i == 60 else w for i, w in enumerate(text)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_decontamination(spark):
     passage = "A train leaves the city Boston at 30 km per hour and reaches the town Denver after 4 hours of travel through old Boston today"
     other = passage.replace("Boston", "Paris").replace("Denver", "Lyon").replace("30", "55").replace("4 ", "7 ")
