@@ -3,12 +3,12 @@
 A long plan is cut by writing a table into the folder that the cluster names in
 ``spark.checkpoint.dir`` and reading it back: every executor can reach it, so a lost executor
 costs a re-read and not a recomputation, and the reread table has a known size, which lets
-Spark choose broadcast joins and split skewed partitions by itself.
+Spark choose broadcast joins and split skewed partitions by itself. What an operator no longer
+needs it deletes; the rest, which its lazy result still reads, goes when the session ends.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Narrow rows in a file, where their number is known.
 FILE_ROWS = 250_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Lets Spark delete the shuffle files of a finished write at once; a written table needs none.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def base_folder(spark: SparkSession) -> str:
@@ -39,6 +41,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        path = self._path(self.root)
+        self._system(path).deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def settle(self, df: DataFrame, batch_rows: int | None = None, rows: int | None = None) -> DataFrame:
         """Write ``df`` and return the reread table. Its schema is kept, also without rows.
@@ -50,25 +60,21 @@ class Scratch:
             df = df.coalesce(-(-rows // FILE_ROWS) or 1)
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        before = self.spark.conf.get(_BATCH, "10000")
+        before = {name: self.spark.conf.get(name) for name in (_BATCH, _CLEAN)}
+        self.spark.conf.set(_CLEAN, "true")
         if batch_rows:
             self.spark.conf.set(_BATCH, str(batch_rows))
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(_BATCH, before or "10000")
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def sweep(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = self._path(table._scratch_path)
+            self._system(path).delete(path, True)
