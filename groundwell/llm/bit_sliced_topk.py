@@ -13,10 +13,13 @@ query, and the k best of those are the result.
 Every query meets every block, in blocks of queries: the stated work of an exact search. Results
 are exact for every input whose scores fit 64 bits.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no part; a query
-meets vectors of its own length only; exactly repeated rows count once, rows that share an id but
-not the vector are separate candidates and separate queries; a row is no candidate of a query with
-its own id; ties go to the smaller id; fewer than k candidates give fewer rows.
+Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
+null ids; a query meets vectors of its own length only; each row is a candidate by itself, so a
+repeated row may take several ranks (k of its copies are indexed, which is all a result can hold),
+and a query by itself, so a repeated query gives its result as often; a row is no candidate of a
+query with its own id; ties go to the smaller id; fewer than k candidates give fewer rows; an empty
+table gives an empty result; ids must be whole numbers; very long vectors make blocks of fewer rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
 
 BLOCK_ROWS = 32_768
+#: Components of a block, which bound its rows where vectors are long.
+BLOCK_CELLS = 1 << 22
 BLOCK_QUERIES = 2_048
+#: Tasks of the search; beyond it a task takes several pairs of a block and a part of the queries, one by one.
+MOST_TASKS = 20_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,7 +111,7 @@ def select_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarra
 def _searcher(k: int):
     def search(batches):
         for batch in batches:
-            found: dict[str, list] = {"query_id": [], "query_key": [], "vec_id": [], "score": []}
+            found: dict[str, list] = {"query_id": [], "query_key": [], "times": [], "vec_id": [], "score": []}
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
                 n, dim, bits, low = len(ids), row["dim"], row["bits"], row["low"]
@@ -136,6 +144,7 @@ def _searcher(k: int):
                             score[i] += bit << w
                     found["query_id"] += [q["id"]] * len(rows)
                     found["query_key"] += [q["key"]] * len(rows)
+                    found["times"] += [q["times"]] * len(rows)
                     found["vec_id"] += ids[rows].tolist()
                     found["score"] += score
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in found.items()})
@@ -149,20 +158,30 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256,
     scratch = Scratch(spark, "topk")
 
     def prepared(df: DataFrame) -> DataFrame:
-        out = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q"))
-        return out.where("id is not null and q is not null").withColumns({"key": F.xxhash64("id", "q"), "dim": F.size("q")})
-
-    every = scratch.settle(prepared(rows).dropDuplicates(["id", "key", "q"]))
-    asked = scratch.settle(prepared(queries).dropDuplicates(["id", "key", "q"]))
-    sizes = every.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
-    parts = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("parts"))
-    plan = scratch.settle(sizes.join(parts, "dim"))
-    dealt = every.join(plan, "dim").withColumn("block", F.pmod("key", "blocks"))
+        """The distinct rows, and how often each occurs: one row many times over is no large group."""
+        out = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q")).where("id is not null and q is not null")
+        return out.groupBy("id", "q").agg(F.count("*").alias("times")).withColumns({"key": F.xxhash64("id", "q"), "dim": F.size("q")})
+
+    if not isinstance(rows.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    every, asked = scratch.settle(prepared(rows)), scratch.settle(prepared(queries))
+    held = F.greatest(F.lit(64), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_CELLS) / F.greatest("dim", F.lit(1)))))
+    copies = F.least("times", F.lit(k)).cast("int")
+    sizes = every.groupBy("dim").agg(F.ceil(F.sum(copies) / held).cast("long").alias("blocks"))
+    # Queries are dealt into more parts where there are fewer pairs of a block and a part than cores; neither changes the result.
+    fewest = F.ceil(4 * spark.sparkContext.defaultParallelism / F.col("blocks"))
+    asks = asked.groupBy("dim").agg(F.count("*").alias("n"))
+    plan = sizes.join(asks, "dim").select("dim", "blocks", F.greatest(F.ceil(F.col("n") / BLOCK_QUERIES), F.least(F.ceil(F.col("n") / 32), fewest)).cast("long").alias("parts"))
+    plan = scratch.settle(plan)
+    pairs = plan.agg(F.coalesce(F.sum(F.col("blocks") * F.col("parts")), F.lit(0))).first()[0]
+    dealt = every.join(plan, "dim").withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).withColumn("block", F.pmod(F.xxhash64("key", "copy"), "blocks"))
     index = dealt.select("dim", "block", "id", "q").groupBy("dim", "block").applyInArrow(build_slices, "dim int, block long, ids binary, low long, bits int, planes binary")
     index = scratch.settle(index)
-    packed = asked.join(plan, "dim").withColumn("part", F.pmod("key", "parts")).groupBy("dim", "part", "blocks").agg(F.collect_list(F.struct("id", "key", "q")).alias("queries"))
+    packed = asked.join(plan, "dim").withColumn("part", F.pmod("key", "parts")).groupBy("dim", "part", "blocks").agg(F.collect_list(F.struct("id", "key", "times", "q")).alias("queries"))
     packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = index.join(packed, ["dim", "block"]).select("dim", "ids", "low", "bits", "planes", "queries")
-    best = scratch.settle(met.mapInArrow(_searcher(k), "query_id long, query_key long, vec_id long, score long"), batch_rows=4)
+    met = index.join(packed, ["dim", "block"]).repartition(int(min(max(pairs, 1), MOST_TASKS)), "dim", "block", "part")
+    met = met.select("dim", "ids", "low", "bits", "planes", "queries")
+    best = scratch.settle(met.mapInArrow(_searcher(k), "query_id long, query_key long, times long, vec_id long, score long"), batch_rows=4)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
