@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts are canonicalised to templates: numbers, units after numbers and names (capitalised words
-inside a sentence) become typed placeholders, other words lose case and punctuation. Windows of
+Texts are canonicalised to templates: numbers, units after numbers and names (up to ``NAME_WORDS``
+capitalised words in a row, wherever they stand, unless the first is one of ``OPENERS``) become typed
+placeholders, other words lose case and punctuation. Windows of
 template words of the documents are hash-joined with those of the benchmark items; shorter probe
 windows at a stride first select the documents that can have a hit, which passes none over. On each
 diagonal (document, item, offset) the slots must agree: one benchmark value stands for one document
@@ -11,14 +12,14 @@ exchanged consistently; windows whose slots all hold the item's own values stay
 placeholders stand for, so they are found as copies only. A document is contaminated if consistent
 windows cover at least ``least_share`` of an item's words.
 
-The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``, ids of
+The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``, integer ids of
 candidate documents up to ``BROADCAST_IDS``; beyond that Spark joins by shuffle.
 
-Defined cases: null or blank texts hold no window; items
-shorter than a window are one window of their own length, so that an item of one word is found in
-every document with the word; items with equal text count once,
-under the smallest id; rows that share a doc id share the verdict; null doc ids are judged together;
-extra columns are ignored.
+Defined cases: null or blank texts hold no window; items shorter than a window are one window of
+their own length, so that an item of one word is found in every document with the word; items with
+equal text count once, under the smallest id; very long texts and items are read whole; rows that
+share a doc id share the verdict, repeated rows too; null doc ids are judged together; without items
+or without documents nothing is found; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 
@@ -37,8 +39,16 @@ BROADCAST_WINDOWS = 500_000
 BROADCAST_IDS = 2_000_000
 #: Private-use characters that stand for a number, a unit and a name.
 NUMBER, UNIT, NAME = chr(0xE000), chr(0xE001), chr(0xE002)
-#: Joins the parts of a number or unit where its value is kept.
-JOINT = chr(0xE003)
+#: Joins the parts of a number, unit or name where its value is kept; END marks where a name ends meanwhile.
+JOINT, END = chr(0xE003), chr(0xE004)
+#: Words of one name at most.
+NAME_WORDS = 4
+#: Capitalised words that open sentences and are no names.
+OPENERS = (
+    "A After All Also An And Another Are As At Before But By Calculate Can Compute Consider Determine Did Do Does During Each Every Find For From "
+    "Given Has Have How If In Into Is It Its Let Of On Or Since So Some Suppose Than That The Then There These This Those To Under Until Was Were "
+    "What When Where Which While Who Whose Why With"
+).split()
 #: What separates words after lower-casing: ASCII bytes that are neither letters nor digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of the windows that select candidate documents.
@@ -53,9 +63,13 @@ UNITS = (
 def template_words(text: Column, values: bool = False) -> Column:
     """The template words of a text; with values, placeholders carry what they stand for."""
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    number, unit, name = (NUMBER + f"$1{JOINT}$2{JOINT}$3 ", "$1" + UNIT + "$2", " " + NAME + "$1") if values else (NUMBER + " ", "$1" + UNIT, " " + NAME)
+    number, unit, name = (NUMBER + f"$1{JOINT}$2{JOINT}$3 ", "$1" + UNIT + "$2", f" {NAME}$0{END} ") if values else (NUMBER + " ", "$1" + UNIT, f" {NAME} ")
     out = F.coalesce(text.cast("string"), F.lit(""))
-    out = F.regexp_replace(out, r" (?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", name)
+    word = r"\p{Lu}\p{Ll}{1,40}"
+    names = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{N}}])){word}(?: {word}){{0,{NAME_WORDS - 1}}}(?![\p{{L}}\p{{N}}])"
+    out = F.regexp_replace(out, names, name)
+    if values:  # a name stays one word, as its placeholder is
+        out = F.translate(F.regexp_replace(out, rf" (?=[^{NAME}{END}]{{1,{41 * NAME_WORDS}}}{END})", JOINT), END, "")
     numbers = F.regexp_replace(out, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])([0-9]+)(?:[.,:/]([0-9]+))?(?:[.,:/]([0-9]+))?(?=[^\p{{L}}\p{{N}}]|$|(?:{units})(?![\p{{L}}\p{{N}}]))", number)
     units_too = F.regexp_replace(numbers, rf"({NUMBER}\S*\s+)({units})(?![\p{{L}}\p{{N}}])", unit)
     if values:  # a unit stays one word, as its placeholder is
@@ -85,11 +99,6 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """A broadcast hint for a written table of at most BROADCAST_IDS ids; a larger one is joined by shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _windows(scratch: Scratch, parts: list[DataFrame]) -> tuple[DataFrame, int]:
     """The written union of ``parts``, broadcast in joins if bounded, and its rows."""
     out = parts[0]
@@ -140,25 +149,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     for size in (size for size in sizes if size < PROBE):
         short = texts.select("id", F.explode(_once(filled_hashes, _sized(size))).alias("key"))
         found = found.unionByName(short.join(copy_table.where(F.col("size") == size), "key", "left_semi").select("id"))
-    candidates = scratch.settle(found.distinct())
-    candidates = _bounded(candidates.withColumnRenamed("id", "_id"))
-    some = texts.join(candidates, texts["id"].eqNullSafe(F.col("_id")), "left_semi")
-
-    def hits_of(hashes: Column, table: DataFrame) -> DataFrame:
+    candidates = scratch.settle(found.distinct().withColumnRenamed("id", "_id"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType) and candidates.count() <= BROADCAST_IDS:
+        candidates = F.broadcast(candidates)
+    # Written: else Spark derives a filter on the words and computes them for all texts, below the join.
+    some = scratch.settle(texts.join(candidates, texts["id"].eqNullSafe(F.col("_id")), "left_semi"))
+    some = scratch.settle(some.select("id", template_words(F.col("text")).alias("words"), template_words(F.col("text"), True).alias("filled")))
+
+    def hits_of(column: str, table: DataFrame) -> DataFrame:
         placed = None
         for size in sizes:
-            of_size = some.select("id", F.posexplode(_once(hashes, _sized(size))).alias("place", "key"))
+            of_size = some.select("id", F.posexplode(_once(_hashes(F.col(column)), _sized(size))).alias("place", "key"))
             placed = of_size if placed is None else placed.unionByName(of_size)
         return scratch.settle(placed.join(table, "key").select("id", "item", "place", "at", "size").distinct())
 
-    hits = hits_of(hashes, table)
+    hits = hits_of("words", table)
 
-    # Slots of the documents that have hits: each word with the value it stands for.
-    touched = _bounded(scratch.settle(hits.select(F.col("id").alias("_id")).distinct()))
-    # Written first: else Spark derives a filter on the words and computes it for all texts, below the join.
-    held = scratch.settle(texts.join(touched, texts["id"].eqNullSafe(F.col("_id")), "left_semi"))
-    filled = held.select("id", template_words(F.col("text"), True).alias("filled"))
-    slots = filled.select("id", F.posexplode("filled").alias("place", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
+    # Slots: each placeholder with the value it stands for.
+    slots = some.select("id", F.posexplode("filled").alias("place", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     theirs = items.select("item", F.posexplode("filled").alias("at", "value")).where(F.col("value").rlike(f"^[{NUMBER}{UNIT}{NAME}]"))
     words_hit = _words_of(hits).select("id", "item", "offset", "at").distinct().withColumn("place", F.col("at") + F.col("offset"))
     words_hit = scratch.settle(words_hit)
@@ -181,7 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     spoiled = matched(doubtful, changed, (*diagonal, "at"), "left_semi").select(*diagonal, "start").distinct()
     agreed = agreed.unionByName(matched(doubtful, spoiled, (*diagonal, "start"), "left_anti").select("id", "item", "at"))
     if n_copied:
-        agreed = agreed.unionByName(_words_of(hits_of(filled_hashes, copy_table)).select("id", "item", "at"))
+        agreed = agreed.unionByName(_words_of(hits_of("filled", copy_table)).select("id", "item", "at"))
     covered = agreed.distinct().groupBy("id", "item").agg(F.count("*").alias("covered"))
     out = covered.join(items.select("item", F.col("n").cast("long").alias("n_words")), "item").withColumn("share", F.col("covered") / F.col("n_words"))
     return scratch.settle(out.where(F.col("share") >= least_share).select(F.col("id").cast(kind).alias(id_col), F.col("item").alias("item_id"), "covered", "n_words", "share"))
