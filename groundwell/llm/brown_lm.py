@@ -1,7 +1,7 @@
 """Brown class-based bigram language model, learnt from the corpus and scored on every text.
 
 Counts cover all training tokens, and every training word has one of the classes. The
-``EXCHANGE_WORDS`` most frequent words are assigned by exchange: each word in turn moves to the class
+``exchange_words`` most frequent words are assigned by exchange: each word in turn moves to the class
 that gives the class bigrams of the training text the highest likelihood. Each of the other words
 then joins the class with the highest gain of the same likelihood, from its own counts of neighbour
 classes, where words outside the exchange are neighbours of one kind. The end of text is a class by
@@ -9,15 +9,16 @@ itself, and so is the unseen word, which has one share in all tokens + 1 after a
 A word's probability is that of its class after the previous word's class times that of the word in
 its class, so that probabilities sum to 1. It is interpolated with the add-one unigram (the base).
 
-Only tables of fixed size reach the driver: the ``LOOKUP_WORDS`` most frequent words, the bigram
+Only tables of fixed size reach the driver: the ``lookup_words`` most frequent words, the bigram
 counts of the exchange words and those of the classes. The table of words with their classes and
 counts grows with the corpus and stays distributed: pairs with words beyond the lookup meet it in a
 join, pre-aggregated by document.
 
 Defined cases: null text counts as empty; an empty text is one end token; every row is scored by
 itself, and trains by itself if its id is not held out, so repeated rows count repeatedly; a null
-id trains; a corpus without training rows gives every token the probability 1; extra columns are
-ignored.
+id is not held out, so it trains; very long texts are counted and scored whole; an empty table gives
+an empty result; a corpus without training rows gives every token the probability 1; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .scratch import Scratch
 EXCHANGE_WORDS = 2048
 CLASSES = 64
 LOOKUP_WORDS = 1 << 18
+SWEEPS = 6
 #: Share of the class model; the rest is the base.
 SHARE = 0.9
 #: Hash of the end token; no word hash equals it but by a 2**-64 chance.
@@ -99,8 +101,8 @@ class Lookup:
         return words, place, np.insert(index, upto[1:], self.rare + 1), upto, upto[:-1] + np.arange(len(upto) - 1)
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
-    """Class of each word by the exchange algorithm.
+def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
+    """Class of each word by the exchange algorithm: until one word in 200 moves in a sweep, or ``sweeps`` are made.
 
     bigrams: dense counts over words, then the rare and the end token, which keep classes of their own.
     """
@@ -314,13 +316,28 @@ def _met(pairs: DataFrame, assigned: DataFrame, unseen: int) -> DataFrame:
     return pairs.select("*", *ends)
 
 
-def train(training: DataFrame, scratch: Scratch, *, classes: int = CLASSES) -> tuple[ClassModel, DataFrame]:
+def most_frequent(table: DataFrame, limit: int) -> DataFrame:
+    """About ``limit`` rows of (key, c), those with the highest counts; of nearly equal ones those with the smallest keys.
+
+    The least count comes from a histogram of at most some hundred rows, so nothing is sorted and no task gathers candidates.
+    """
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    left, cut, share = limit, -1, 0.0
+    for row in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if row["count"] > left:
+            cut, share = row["level"], left / row["count"]
+            break
+        left -= row["count"]
+    return table.where((level > cut) | (level == cut) & (F.col("key") < int(share * 2.0**64 - 2.0**63)))
+
+
+def train(training: DataFrame, scratch: Scratch, *, classes: int = CLASSES, exchange_words: int = EXCHANGE_WORDS, lookup_words: int = LOOKUP_WORDS, sweeps: int = SWEEPS) -> tuple[ClassModel, DataFrame]:
     """The model of the column ``text`` of ``training``, and the table (key, cls, c) of the words outside the exchange."""
     spark = training.sparkSession
     counts = training.mapInArrow(_counted(_word_keys), "key long, count long").groupBy("key").agg(F.sum("count").alias("c"))
     counts = scratch.settle(counts)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("key") != END_HASH).orderBy(F.desc("c"), "key").limit(EXCHANGE_WORDS).toArrow()
+    top = most_frequent(counts.where(F.col("key") != END_HASH), exchange_words).toArrow().sort_by([("c", "descending"), ("key", "ascending")])
     keys, c = (top.column(k).to_numpy() for k in ("key", "c"))
     n = len(keys)
     order = np.argsort(keys.view(np.uint64))
@@ -334,7 +351,7 @@ def train(training: DataFrame, scratch: Scratch, *, classes: int = CLASSES) -> t
     pairs = training.mapInArrow(_counted(pair_keys), "key long, count long").groupBy("key").agg(F.sum("count").alias("c")).toArrow()
     bigrams = np.zeros((n + 2, n + 2))
     bigrams.ravel()[pairs.column("key").to_numpy()] = pairs.column("c").to_numpy()
-    cls = exchange(bigrams, classes)
+    cls = exchange(bigrams, classes, sweeps)
     whole = classes + 2
     table = np.zeros((whole, whole))
     np.add.at(table, (np.repeat(cls, n + 2), np.tile(cls, n + 2)), bigrams.ravel())
@@ -343,7 +360,7 @@ def train(training: DataFrame, scratch: Scratch, *, classes: int = CLASSES) -> t
     around = training.mapInArrow(_neighbours(lookup, cls, whole), "key long, code long, count long")
     around = around.repartition("key").groupBy("key", "code").agg(F.sum("count").alias("c")).groupBy("key").agg(F.collect_list("code").alias("codes"), F.collect_list("c").alias("counts"))
     assigned = scratch.settle(around.mapInArrow(_assigner(table), "key long, cls int, c long"), batch_rows=2000)
-    more = assigned.orderBy(F.desc("c"), "key").limit(max(0, LOOKUP_WORDS - n)).toArrow()
+    more = most_frequent(assigned, max(0, lookup_words - n)).toArrow()
     keys, c, cls = (np.concatenate([x, more.column(k).to_numpy()]) for k, x in (("key", keys), ("c", c), ("cls", cls[:n])))
     order = np.argsort(keys.view(np.uint64))
     ends = int(bigrams[:, n + 1].sum())
@@ -408,12 +425,16 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row."""
+def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row.
+
+    options: classes, exchange_words, lookup_words and sweeps, see ``train``.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "brown")
     training = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"))
-    model, assigned = train(training, scratch, classes=classes)
+    model, assigned = train(training, scratch, **options)
+    classes = model.words.classes
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lists = ("k1", "d1", "k2", "d2", "n2", "times")
