@@ -12,8 +12,10 @@ a replacement at p, a variant equal to a whole line an insertion. Every bucket n
 earliest members, so no bucket is expanded into pairs; each hit is then verified on the words.
 
 Defined cases: null text stays null with no lines; an empty text is one blank line; rows that share
-an id share their line positions (repeated rows get equal results); null ids sort last; all columns
-pass through, except that the added ones replace columns of the same name.
+an id share their line positions (repeated rows get equal results); null ids sort last; an empty
+table stays empty; very long texts and lines are read whole, a line of n words makes n + 1 variants;
+all columns pass through, whatever their names, except that the added ones replace columns of the
+same name.
 """
 
 from __future__ import annotations
@@ -53,15 +55,18 @@ def _without(words: str, p: str) -> str:
 
 #: SQL of (p, v) for the word hashes h: p = -1 and the hash of the line, then p and the hash without word p.
 #: The hash of a sequence is the exclusive or of the hashes of (place, word), so each deletion follows
-#: from the one before it in two steps.
-_VARIANTS = """
-get(transform(array(transform(h, (x, i) -> xxhash64(i, x))), own ->
- get(transform(array(transform(h, (x, i) -> xxhash64(i - 1, x))), moved ->
-  transform(
-   aggregate(sequence(0, size(h) - 1),
-    array(aggregate(own, 0L, (s, x) -> s ^ x), aggregate(slice(moved, 2, size(h)), 0L, (s, x) -> s ^ x)),
-    (v, p) -> if(p = 0, v, concat(v, array(element_at(v, -1) ^ moved[p] ^ own[p - 1])))),
-   (v, i) -> named_struct('p', i - 1, 'v', v))), 0)), 0)"""
+#: from the one before it in one step. The running values are made in blocks, as an array that grows
+#: word by word would be copied for each word of a very long line.
+_BLOCK = 256
+_VARIANTS = f"""
+get(transform(array(transform(h, (x, i) -> if(i = 0, 0L, xxhash64(i - 1, x) ^ xxhash64(i - 1, h[i - 1])))), step ->
+ get(transform(array(aggregate(sequence(0, (size(h) - 1) div {_BLOCK}),
+   array(aggregate(transform(h, (x, i) -> if(i = 0, 0L, xxhash64(i - 1, x))), 0L, (s, x) -> s ^ x)),
+   (s, k) -> concat(s, array(element_at(s, -1) ^ aggregate(slice(step, k * {_BLOCK} + 1, {_BLOCK}), 0L, (a, x) -> a ^ x))))), starts ->
+  concat(array(named_struct('p', -1, 'v', aggregate(transform(h, (x, i) -> xxhash64(i, x)), 0L, (s, x) -> s ^ x))),
+   transform(flatten(transform(sequence(0, (size(h) - 1) div {_BLOCK}), k ->
+     slice(aggregate(slice(step, k * {_BLOCK} + 1, {_BLOCK}), array(starts[k]), (s, x) -> concat(s, array(element_at(s, -1) ^ x))), 2, {_BLOCK}))),
+    (v, i) -> named_struct('p', i, 'v', v)))), 0)), 0)"""
 
 
 def _plain(line: Column) -> Column:
@@ -117,21 +122,23 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = scratch.settle(ends.where(within).select("pos").distinct())
 
     kept = classes.select("pos").join(near, "pos", "left_anti").select(id_of.alias("id"), line_of.alias("line"))
-    kept = kept.groupBy("id").agg(F.collect_set("line").alias("_kept"))
+    kept = kept.groupBy(F.col("id").alias("of")).agg(F.collect_set("line").alias("kept"))
     added = ("n_lines", "n_kept", "n_removed")
-    rest = docs.drop(*added)
-    kept = kept.withColumnRenamed("id", "_id")
-    out = rest.join(kept, rest[id_col].eqNullSafe(kept["_id"]), "left").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    blank = F.filter(F.transform("_lines", lambda line, i: F.when(_plain(line) == "", i)), lambda i: i.isNotNull())
+    rest = [c for c in docs.columns if c not in added]
+    others = [F.col(f"`{c}`") for c in rest if c != text_col]  # packed, so that no name of theirs meets one used here
+    out = docs.select(F.struct(*others).alias("others"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = out.join(kept, out["id"].eqNullSafe(kept["of"]), "left").withColumn("lines", F.split("text", "\n"))
+    blank = F.filter(F.transform("lines", lambda line, i: F.when(_plain(line) == "", i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")
-    out = out.withColumn("_all", F.array_sort(F.array_union(F.coalesce("_kept", none), F.coalesce(blank, none))))
-    picked = F.transform("_all", lambda i: F.get("_lines", i))
+    out = out.withColumn("all", F.array_sort(F.array_union(F.coalesce("kept", none), F.coalesce(blank, none))))
+    picked = F.transform("all", lambda i: F.get("lines", i))
     picked = F.filter(picked, lambda line: line.isNotNull())
-    out = out.withColumn("_picked", F.when(F.col(text_col).isNotNull(), picked))
-    n_lines, n_kept = (F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), F.col(c))), F.lit(0)).cast("long") for c in ("_lines", "_picked"))
+    out = out.withColumn("picked", F.when(F.col("text").isNotNull(), picked))
+    n_lines, n_kept = (F.coalesce(F.size(F.when(F.col("text").isNotNull(), F.col(c))), F.lit(0)).cast("long") for c in ("lines", "picked"))
     n_lines, n_kept = F.greatest(n_lines, F.lit(0).cast("long")), F.greatest(n_kept, F.lit(0).cast("long"))
     out = out.withColumns({"n_lines": n_lines, "n_kept": n_kept}).withColumn("n_removed", F.col("n_lines") - F.col("n_kept"))
-    return out.withColumn(text_col, F.array_join("_picked", "\n")).select(*rest.columns, *added)
+    columns = [F.array_join("picked", "\n").alias(c) if c == text_col else F.col(f"others.`{c}`") for c in rest]
+    return out.select(*columns, *added)
 
 
 #: DuckDB SQL of doc_id, n_lines, n_kept, n_removed and the SHA-256 of the text that is left.
