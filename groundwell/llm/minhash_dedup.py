@@ -18,9 +18,9 @@ before any set is read. A one-permutation sketch of 256 bits decides how a membe
 between members discards pairs that look 40 points below the threshold (some 5 deviations at 100 shingles).
 
 Defined cases: null or blank text has an empty set and is linked with nothing; a text with fewer
-words than a shingle is one shingle; a null id is never linked and is kept; rows that share an id
-are one document (a link of either text links the id, the size is the row's own); extra columns
-are ignored; an empty table gives an empty result.
+words than a shingle is one shingle; very long texts are read whole; a null id is never linked and
+is kept; rows that share an id are one document (a link of either text links the id, the size is the
+row's own); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordhash as wh
 from .components import component_of
@@ -41,7 +43,7 @@ SKETCH_LEAST = 100
 STAR_PERCENT = 30
 #: Members of a star that are compared at a time with as many others.
 STAR_BLOCK = 384
-#: Ids of candidate texts are broadcast up to this many (8 bytes each), else joined by shuffle.
+#: Integer ids of candidate texts are broadcast up to this many, others by Spark's own limit; else they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -193,7 +195,7 @@ def _differ(batches):
         diffs = []
         for x, y in zip(batch.column(4), batch.column(5), strict=True):
             diffs.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).tobytes())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(diffs, pa.binary())], names=["u", "v", "n", "part", "diff"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 6)), pa.array(diffs, pa.binary())], names=["u", "v", "n", "part", "home", "diff"])
 
 
 def _agreeing(x: str, y: str, percent: int):
@@ -238,20 +240,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(info.select(F.col("rep").alias(side_name), *(F.col(c).alias(side_name + c) for c in ("n", "s0", "s1", "s2", "s3"))), side_name)
         return pairs
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The linked ones of distinct candidate pairs (u, v)."""
-        wanted = scratch.settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        sets = scratch.settle(texts.join(wanted, "id", "left_semi").mapInArrow(_set_reader(shingle), f"id {kind}, packed binary"), batch_rows=2000)
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("packed").alias("pu")), "u").join(sets.select(F.col("id").alias("v"), F.col("packed").alias("pv")), "v")
-        links = scratch.settle(both.select("u", "v", "pu", "pv").mapInArrow(_confirmer(percent), f"u {kind}, v {kind}"), batch_rows=200)
-        scratch.drop(sets)
-        return links
-
     def set_table(wanted: DataFrame) -> DataFrame:
         wanted = scratch.settle(wanted.distinct())
-        if wanted.count() <= BROADCAST_IDS:
+        if isinstance(id_type, T.IntegralType) and wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
         return scratch.settle(texts.join(wanted, "id", "left_semi").mapInArrow(_set_reader(shingle), f"id {kind}, packed binary"), batch_rows=2000)
 
@@ -272,20 +263,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch.drop(sets)
     part = component_of(scratch, links)
 
-    # Members of one star in different components, in blocks.
+    # Members of one star in different components, in blocks. Those with the centre's component need no
+    # comparison with each other, so a large star costs its size times that of its other members.
     near_parts = stars.where("like").join(part.withColumnRenamed("node", "v"), "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component")
-    near_parts = scratch.settle(near_parts.select("u", "v", "n", "part"))
-    split = near_parts.groupBy("u").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p < q")
-    split = scratch.settle(split.select("u", F.ceil(F.col("m") / STAR_BLOCK).cast("int").alias("blocks")))
+    near_parts = near_parts.join(part.withColumnRenamed("node", "u"), "u", "left").withColumn("home", F.col("part") == F.coalesce("component", "u"))
+    near_parts = scratch.settle(near_parts.select("u", "v", "n", "part", "home"))
+    blocks = lambda at_home: F.ceil(F.count_if(F.col("home") == at_home) / STAR_BLOCK).cast("int")
+    split = near_parts.groupBy("u").agg(F.min("part").alias("p"), F.max("part").alias("q"), blocks(True).alias("homes"), blocks(False).alias("others")).where("p < q")
+    split = scratch.settle(split.select("u", "homes", "others"))
     members = scratch.settle(near_parts.join(split, "u"))
     sets = set_table(members.select(F.explode(F.array("u", "v")).alias("id")))
-    moved = scratch.settle(with_sets(members.select("u", "v", "n", "part"), sets).select("u", "v", "n", "part", "pu", "pv").mapInArrow(_differ, f"u {kind}, v {kind}, n long, part {kind}, diff binary"), batch_rows=200)
+    moved = scratch.settle(with_sets(members.select("u", "v", "n", "part", "home"), sets).select("u", "v", "n", "part", "pu", "pv", "home").mapInArrow(_differ, f"u {kind}, v {kind}, n long, part {kind}, home boolean, diff binary"), batch_rows=200)
     scratch.drop(sets, members, near_parts)
-    dealt = moved.join(split, "u").withColumn("own", F.pmod(F.xxhash64("v"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks of the centre's component have numbers below 0.
+    dealt = moved.join(split, "u").withColumn("own", F.when(F.col("home"), -1 - F.pmod(F.xxhash64("v"), F.greatest("homes", F.lit(1)))).otherwise(F.pmod(F.xxhash64("v"), F.greatest("others", F.lit(1)))))
+    dealt = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.when(F.col("home"), F.lit(0)).otherwise(-F.col("homes")), F.col("others"), F.lit(1)), lambda i: i < F.col("others"))))
     dealt = dealt.select("u", F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high"), "v", "n", "part", "diff")
     dealt = dealt.repartition("u", "low", "high").sortWithinPartitions("u", "low", "high", "part", "v")
-    arrow_kind = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    links = scratch.settle(links.unionByName(dealt.mapInArrow(_star_tester(percent, arrow_kind), f"u {kind}, v {kind}")), batch_rows=500)
+    links = scratch.settle(links.unionByName(dealt.mapInArrow(_star_tester(percent, to_arrow_type(id_type)), f"u {kind}, v {kind}")), batch_rows=500)
 
     # Members unlike their centre, with the members of their buckets in other components.
     unlike = stars.where("not like").select(F.col("u").alias("lead"), F.col("v").alias("rep"), F.lit(True).alias("unlike"))
