@@ -133,7 +133,8 @@ def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: s
     order = sorted(ranks.values())
     shared = docs.sparkSession.sparkContext.broadcast((serialise_model(ranks), order))
     added = ("n_tokens", "ids", "decoded")
-    kept = [c for c in docs.columns if c not in added and c != "_text"]
+    kept = [c for c in docs.columns if c not in added]
+    last = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
 
     def run(batches):
         bpe = ByteBpe(*shared.value, pattern)
@@ -147,4 +148,4 @@ def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], names=[*kept, *added])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias(last)).mapInArrow(run, schema)

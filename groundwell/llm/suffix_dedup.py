@@ -283,8 +283,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     if not crowded.isEmpty():
         sorted_out = sorted_out.unionByName(_crowded_starts(scratch, crowded, length))
     copies = long_texts.groupBy("doc").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1")
-    whole = copies.select("doc", F.lit(0).alias("low"), (F.col("size") - length).cast("int").alias("high"))
-    ranges = ranges.unionByName(sorted_out).unionByName(whole)
+    # Texts with copies go as a whole; without this, a text in a third of all rows were one hot key.
+    copies = scratch.settle(copies)
+    ranges = ranges.unionByName(sorted_out).join(copies.select("doc"), "doc", "left_anti").unionByName(copies.select("doc", F.lit(0).alias("low"), (F.col("size") - length).cast("int").alias("high")))
     per_doc = scratch.settle(ranges.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
     scratch.drop(shared, contexts, read)
     out = texts.join(per_doc, "doc", "left").select("id", "text", "ranges")

@@ -5,11 +5,14 @@ logistic in the hashed words it holds, and the document's is 1 - prod(1 - p): on
 are needed to train it, and the trained sentence scores locate the offending sentences.
 
 Training uses at most ``TRAIN_PER_CLASS`` labelled documents of each class, those with the smallest
-hash of the id; this bound is all that is sampled. Scores use the text alone.
-
-Defined cases: null and blank texts have no sentence and score 0; a null label is no label;
-several labels of one id count as toxic if any does; repeated rows are scored alike; without
-labels of both classes every score is 0; extra columns are ignored.
+hash of the id, and of these the ones of at most ``TRAIN_BYTES`` bytes; these bounds of the training
+sample are all that is left out. Scores use the text alone, all of it.
+
+Defined cases: null and blank texts have no sentence and score 0; a null id is not held out and has no
+label; a null label is no label; several labels of one id count as toxic if any does; of several
+texts of one id the first in order trains; repeated rows are scored alike; very long texts are scored
+whole; without labels of both classes every score is 0; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from . import wordhash as wh
 BUCKETS = 1 << 19
 HEAD_BYTES = 5
 TRAIN_PER_CLASS = 2500
+TRAIN_BYTES = 1 << 16
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
@@ -116,8 +120,8 @@ def _reader(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows["features"], pa.binary()), pa.array(rows["of"], pa.binary())], names=["toxic", "features", "of"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SentenceModel:
-    """Fit on at most ``per_class`` labelled documents of each class.
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SentenceModel:
+    """Fit on at most ``per_class`` labelled documents of each class, of at most ``most_bytes`` bytes each.
 
     The sampled ids (at most 2 * per_class) are broadcast; the driver receives their hashed words.
     """
@@ -125,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLAS
     marks = marks.withColumn("_at", F.xxhash64(F.col("_id").cast("string")))
     picked = [marks.where(F.col("_toxic") == v).orderBy("_at", "_id").limit(per_class) for v in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
-    found = texts.select("_toxic", "_text").mapInArrow(_reader, "toxic int, features binary, of binary").limit(4 * per_class).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= most_bytes).join(chosen, "_id")
+    texts = texts.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    found = texts.select("_toxic", "_text").mapInArrow(_reader, "toxic int, features binary, of binary").collect()
     bags = [(np.frombuffer(r.features, "<i4").reshape(-1, 2), np.frombuffer(r.of, "<i4"), r.toxic) for r in sorted(found)]
     return fit(bags) if bags else SentenceModel(np.zeros(BUCKETS, np.float32), -40.0)
 
@@ -156,8 +161,8 @@ def score(docs: DataFrame, model: SentenceModel, *, id_col: str = "doc_id", text
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
-    """Whether crc32 of the id as text is a multiple of folds."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
+    """Whether crc32 of the id as text is a multiple of folds; not so for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

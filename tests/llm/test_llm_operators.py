@@ -7,10 +7,12 @@ import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groundwell.llm import queries as llm_queries
 from groundwell.llm import bit_sliced_topk, brown_lm, byte_bpe, decontaminate, license_scan, line_dedup, minhash_dedup, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string"
@@ -167,16 +169,14 @@ def test_language_scores(docs, rows):
     assert class_based > base
 
 
-def test_class_model_sums_to_one():
+def test_exchange_keeps_the_last_classes():
     bigrams = np.random.default_rng(0).integers(0, 9, (42, 42)).astype(float)
     cls = brown_lm.exchange(bigrams, 5)
     assert set(cls[:40]) <= set(range(5)) and list(cls[40:]) == [5, 6]
 
 
 @pytest.mark.parametrize("lookup", [6, 12, 1 << 18])
-def test_every_word_has_a_class(spark, monkeypatch, lookup):
-    monkeypatch.setattr(brown_lm, "EXCHANGE_WORDS", 6)
-    monkeypatch.setattr(brown_lm, "LOOKUP_WORDS", lookup)
+def test_every_word_has_a_class(spark, lookup):
     rng = random.Random(2)
     kinds = [[f"{kind}{i}" for i in range(12)] for kind in ("a", "b")]
     texts = [" ".join(rng.choices(kinds[k % 2], [70, 20, 10, *[3] * 9])[0] for k in range(40)) for _ in range(60)]
@@ -184,7 +184,7 @@ def test_every_word_has_a_class(spark, monkeypatch, lookup):
     rows = list(enumerate(texts))
     trains = {d for d in range(len(rows)) if zlib.crc32(str(d).encode()) % 7 != 2 and d < 60}
     training = spark.createDataFrame([(rows[d][1],) for d in sorted(trains)], "text string")
-    model, assigned = brown_lm.train(training, brown_lm.Scratch(spark, "test"), classes=2)
+    model, assigned = brown_lm.train(training, brown_lm.Scratch(spark, "test"), classes=2, exchange_words=6, lookup_words=lookup)
     count = collections.Counter(w for d in trains for w in [*words(texts[d]), None])
     cls = {int(np.uint64(k)): int(c) for k, c in zip(model.words.hashes, model.words.cls, strict=True)} | {r.key % (1 << 64): r.cls for r in assigned.collect()}
     assert len(cls) == len(count) - 1
@@ -200,10 +200,9 @@ def test_every_word_has_a_class(spark, monkeypatch, lookup):
         table.update(zip(tokens, tokens[1:], strict=False))
     assert list(model.size) == [sum(n for (_, c), n in table.items() if c == k) for k in range(4)]
     assert np.allclose(model.next_class.sum(1)[[0, 1, 3]], 1)
-    got = brown_lm.language_scores(spark.createDataFrame([(d, t) for d, t in rows], SCHEMA), classes=2).collect()
+    got = brown_lm.language_scores(spark.createDataFrame([(d, t) for d, t in rows], SCHEMA), classes=2, exchange_words=6, lookup_words=lookup).collect()
     # Without words beyond the lookup, scores are the same.
-    monkeypatch.setattr(brown_lm, "LOOKUP_WORDS", 1 << 18)
-    want = {r.doc_id: r for r in brown_lm.language_scores(spark.createDataFrame(rows, SCHEMA), classes=2).collect()}
+    want = {r.doc_id: r for r in brown_lm.language_scores(spark.createDataFrame(rows, SCHEMA), classes=2, exchange_words=6).collect()}
     assert all((r.n_known, r.score, r.base_score) == (want[r.doc_id].n_known, pytest.approx(want[r.doc_id].score), pytest.approx(want[r.doc_id].base_score)) for r in got)
 
 
@@ -273,21 +272,71 @@ def test_top_k_exact(spark):
     want = []
     for i in range(0, 300, 50):
         score = q @ q[i]
-        order = [j for j in np.lexsort((np.arange(300), -score)) if j != i][:5]
-        want += [(i, k + 1, int(j), int(score[j])) for k, j in enumerate(order)]
+        rows_left = sorted((-int(score[j]), j) for j in [*range(300), 5] if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(rows_left)]
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["minhash", "lines", "repeats", "tox", "license", "bpe"])
-def test_empty_tables_and_extra_columns(spark, name):
+def test_top_k_with_repeated_rows(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.5, 1.0]), (1, [0.5, 1.0]), (2, [0.25, -1.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0])] + [(3, [0.9, 0.0])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.createOrReplaceTempView("embeddings_with_copies")
+    got = sorted(tuple(r) for r in bit_sliced_topk.top_k(df, df.where("vec_id % 50 = 0")).collect())
+    con = duckdb.connect()
+    con.execute("create table embeddings as select * from (values " + ", ".join(f"({i}, {v}::double[])" for i, v in rows) + ") t(vec_id, embedding)")
+    assert got == sorted(con.execute(llm_queries.ORACLE["op10_bit_sliced_topk"]).fetchall())
+    assert [r[2] for r in got if r[0] == 0] == [3] * 5 and sum(r[0] == 50 for r in got) == 10
+
+
+def test_top_k_ids_and_edges(spark):
+    kinds = "vec_id int, embedding array<float>, id string, dim int, block long, queries string"
+    assert bit_sliced_topk.top_k(*[spark.createDataFrame([], kinds)] * 2).count() == 0
+    df = spark.createDataFrame([(0, [1.0], "x", 1, 2, "q"), (None, [1.0], "x", 1, 2, "q"), (2, [0.5], "x", 1, 2, "q"), (3, [], "x", 1, 2, "q")], kinds)
+    assert sorted(tuple(r) for r in bit_sliced_topk.top_k(df, df).collect()) == [(0, 1, 2, 32768), (2, 1, 0, 32768)]
+    with pytest.raises(TypeError):
+        bit_sliced_topk.top_k(df.withColumn("vec_id", F.lit("a")), df)
+
+
+def operators(spark):
+    """Each operator over documents, with tables of its own beside them."""
     import public_tokenizers
 
-    run = {
-        "minhash": minhash_dedup.near_duplicates, "lines": line_dedup.dedup_lines, "repeats": suffix_dedup.remove_repeats,
-        "tox": lambda d: toxicity.toxicity(d, spark.createDataFrame([], "doc_id long, toxic int")), "license": license_scan.scan,
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "some words in a row here and there again"), (2, "some words in a row here and there again"), (3, None)], "item_id long, text string")
+    return {
+        "minhash": minhash_dedup.near_duplicates, "leaks": lambda d: decontaminate.contamination(d, items), "lines": line_dedup.dedup_lines, "repeats": suffix_dedup.remove_repeats,
+        "lm": lambda d: brown_lm.language_scores(d, classes=2), "tox": lambda d: toxicity.toxicity(d, labels), "license": license_scan.scan,
+        "urls": lambda d: url_filter.judge(d, id_col="doc_id", url_col="text"),
         "bpe": lambda d: byte_bpe.encode_decode(d, vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN),
-    }[name]
-    clash = "doc_id long, text string, id long, n int, h array<long>, pos int, row long, score string, n_tokens int"
+    }
+
+
+NAMES = ["minhash", "leaks", "lines", "repeats", "lm", "tox", "license", "urls", "bpe"]
+#: Names that operators use inside.
+CLASH = "id row doc words filled w places k n h pos line key item place at share _id _kept _lines _all _picked kept of others lines picked _text _gone low high right ranges spans offending score label priority host path rule grams best text_1 a b d1 cls".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables_and_extra_columns(spark, name):
+    run = operators(spark)[name]
+    clash = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH)
     assert run(spark.createDataFrame([], clash)).count() == 0
-    full = spark.createDataFrame([(1, "some words in a row here", 1, 2, [3], 4, 5, "s", 6)], clash)
-    assert run(full).count() == 1
+    full = spark.createDataFrame([(1, "some words in a row here", *CLASH)], clash)
+    out = run(full).collect()
+    assert len(out) == 1 and out[0].doc_id == 1
+    if name in ("lines", "bpe"):  # the others return their own columns only
+        assert all(out[0][c] == c for c in CLASH) and out[0].text == "some words in a row here"
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_nulls_repeats_and_long_texts(spark, name):
+    """One row for each row; equal rows get equal results; null ids and very long texts pass."""
+    rng = random.Random(2)
+    long = " ".join(rng.choice(["mit license", "apple", "Bob has 3 km", "see http://a.org/es/x"]) + str(rng.randrange(10**5)) for _ in range(3_000))
+    rows = [(1, "same row. some words in a row here and there again"), (1, "same row. some words in a row here and there again"), (None, None), (None, "text of a null id"), (2, None), (3, ""), (4, " \n\t "), (5, long), (6, long)]
+    out = operators(spark)[name](spark.createDataFrame(rows, SCHEMA)).collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(d for d, _ in rows)
+    same = [r.asDict() for r in out if r.doc_id == 1]
+    assert same[0] == same[1]
+    if name == "leaks":
+        assert [r.contaminated for r in out if r.doc_id in (1, 5)] == [True, True, False]
