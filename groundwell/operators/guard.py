@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,7 +39,9 @@ LOOKALIKES = (
     "аАеЕоОрРсСхХуУіІѕЅјЈкКмМнНтТвВ" + "αΑβΒοΟρΡνΝκΚτΤιΙυΥ",
     "aAeEoOpPcCxXyYiIsSjJkKmMhHtTbB" + "aAbBoOpPvNkKtTiIuY",
 )
-DELIMITERS = r"(?i)<\|im_start\|>|\[ASSISTANT\]|<\|im_end\|>|</assistant>|</system>|\[SYSTEM\]|</user>|\[USER\]|---|###"
+CHAT_DELIMITERS = ("<|im_start|>", "<|im_end|>", "</system>", "</user>", "</assistant>", "[SYSTEM]", "[USER]", "[ASSISTANT]", "---", "###")
+#: Longest first, so that none leaves a piece of a longer one.
+DELIMITERS = "(?i)" + "|".join(re.escape(d) for d in sorted(CHAT_DELIMITERS, key=len, reverse=True))
 IBAN_PATTERN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b"
 CANARY_PIECE = 8
 SCRIPTS = (r"[\x{0370}-\x{03FF}&&\p{L}]", r"[\x{0400}-\x{04FF}&&\p{L}]", r"[\x{0600}-\x{06FF}&&\p{L}]", r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}&&\p{L}]")
@@ -53,13 +56,13 @@ def injection_reason(text: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode normal form KC; Spark has no such function, so an Arrow function does it where the text is not ASCII."""
+    """Unicode normal form KC; Spark has no such function, so an Arrow function does it. ASCII texts are their own form and are sent as nulls."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
-    return run(text)
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(run(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
 
 
 def fold(text: Column) -> Column:
@@ -80,7 +83,7 @@ def score_features(text: Column) -> dict[str, Column]:
     low, length = F.lower(text), F.length(text)
     on = lambda condition, weight: F.when(condition, float(weight)).otherwise(0.0)
     out = {f"regex_{name}": on(text.rlike(pattern), GROUP_WEIGHTS[name]) for name, pattern in INJECTION}
-    hits = sum((F.contains(low, F.lit(k)).cast("int") for k in KEYWORDS), F.lit(0))
+    hits = F.get(F.transform(F.array(low), lambda t: sum((F.contains(t, F.lit(k)).cast("int") for k in KEYWORDS), F.lit(0))), 0)
     out["keyword_hits"] = F.least(F.lit(KEYWORD_CAP), hits * KEYWORD_WEIGHT)
     mimics = F.lit(False)
     for pattern in MIMICRY:
@@ -140,9 +143,9 @@ def canary_leaked(answer: Column, canary: Column) -> Column:
 
 
 def leaked_categories(answer: Column, contexts: Column) -> Column:
-    """Categories of valid card, national id or bank account numbers in the answer that no context holds verbatim."""
+    """Categories (PAN, NATIONAL_ID, IBAN) of valid numbers in the answer that no context holds verbatim."""
     source = F.array_join(contexts, "\n")
-    checks = (("card", CARD_PATTERN, luhn_valid, True), ("national_id", NATIONAL_ID_PATTERN, national_id_valid, True), ("iban", IBAN_PATTERN, iban_valid, False))
+    checks = (("PAN", CARD_PATTERN, luhn_valid, True), ("NATIONAL_ID", NATIONAL_ID_PATTERN, national_id_valid, True), ("IBAN", IBAN_PATTERN, iban_valid, False))
     found = []
     for name, pattern, valid, numeric in checks:
         matches = F.regexp_extract_all(answer, F.lit(pattern), 0)
@@ -164,5 +167,52 @@ def output_guard(df: DataFrame, *, answer_col: str = "answer", contexts_col: str
     out = out.withColumn("canary_leaked", canary_leaked(F.col(answer_col), F.col(canary_col)))
     out = out.withColumn("pii_categories", F.when(F.col("canary_leaked"), F.array().cast("array<string>")).otherwise(leaked_categories(F.col(answer_col), F.col(contexts_col))))
     out = out.withColumn("blocked", F.col("canary_leaked") | (F.size("pii_categories") > 0))
-    marked = F.aggregate("ungrounded", F.col(answer_col), lambda t, tag: F.replace(t, F.concat(F.lit("["), tag, F.lit("]")), F.concat(F.lit("["), tag, F.lit("] [unverified]"))))
-    return out.withColumn("guarded", F.when(F.col("blocked"), fallback).otherwise(marked))
+    return out.withColumn("guarded", F.when(F.col("blocked"), fallback).otherwise(annotated(F.col(answer_col), F.col("ungrounded"))))
+
+
+def annotated(answer: Column, tags: Column) -> Column:
+    """The answer with [unverified] immediately after each occurrence of a listed tag."""
+    return F.aggregate(tags, answer, lambda t, tag: F.replace(t, F.concat(F.lit("["), tag, F.lit("]")), F.concat(F.lit("["), tag, F.lit("][unverified]"))))
+
+
+def two_stage(df: DataFrame, text_col: str = "text", *, model: Column | None = None, stage2=None, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """``df`` normalised and judged: stage1_score, stage1_source, top_features, stage2 (ran, degraded, label, confidence), zone.
+
+    model: stage-1 probability of a trained model, the rules hold where it is null; stage2(df) -> Column
+    of struct(label, confidence), asked about scores from ``low`` on and null where it fails. Without a
+    stage 2 such rows count as degraded only if their score is uncertain (below ``high``).
+    """
+    out = rule_score(normalise(df, text_col).withColumn("_raw", F.col(text_col)).withColumn(text_col, F.col("normalised")), text_col).withColumn(text_col, F.col("_raw")).drop("_raw")
+    out = out.withColumn("stage1_score", F.coalesce(model, F.col("score")) if model is not None else F.col("score")).drop("score")
+    out = out.withColumn("stage1_source", F.when(model.isNotNull(), "model").otherwise("rules") if model is not None else F.lit("rules"))
+    asked = F.col("stage1_score") >= low
+    verdict = F.when(asked, stage2(out)) if stage2 is not None else F.lit(None).cast("struct<label:string,confidence:double>")
+    out = out.withColumn("_verdict", verdict)
+    ran = F.col("_verdict").isNotNull()
+    degraded = asked & ~ran if stage2 is not None else F.lit(False)
+    out = out.withColumn("stage2", F.struct(ran.alias("ran"), degraded.alias("degraded"), F.col("_verdict.label").alias("label"), F.col("_verdict.confidence").cast("double").alias("confidence"))).drop("_verdict")
+    return out.withColumn("zone", zone(F.col("stage1_score"), ran=F.col("stage2.ran"), degraded=F.col("stage2.degraded"), label=F.col("stage2.label"), confidence=F.col("stage2.confidence"), low=low, high=high))
+
+
+def train_stage1(labelled: DataFrame, text_col: str = "text", label_col: str = "label", *, features: int = 1 << 16):
+    """A fitted pyspark.ml pipeline: n-grams of 3 to 5 characters within words, hashed, idf, logistic regression."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
+
+    grams = SQLTransformer(statement=f"SELECT *, {_GRAMS.format(text=text_col)} AS _grams FROM __THIS__")
+    stages = [grams, HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_tfidf"), LogisticRegression(featuresCol="_tfidf", labelCol=label_col, probabilityCol="_probability", regParam=0.01)]
+    return Pipeline(stages=stages).fit(labelled.withColumn(label_col, F.col(label_col).cast("double")))
+
+
+#: n-grams of 3 to 5 characters of each word with a space on either side.
+_GRAMS = r"flatten(transform(filter(split(lower({text}), '\\s+'), w -> w <> ''), w -> flatten(transform(sequence(3, 5), n -> if(length(w) + 2 >= n, transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n)), array(concat(' ', w, ' ')))))))"
+
+
+def stage1_probability(fitted, df: DataFrame) -> DataFrame:
+    """``df`` with model_score: the probability of the label 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = fitted.transform(df)
+    added = ["_grams", "_tf", "_tfidf", "_probability", "rawPrediction", "prediction"]
+    return out.withColumn("model_score", vector_to_array("_probability")[1]).drop(*added)
