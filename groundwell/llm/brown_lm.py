@@ -35,7 +35,7 @@ from .scratch import Scratch
 
 EXCHANGE_WORDS = 2048
 CLASSES = 64
-LOOKUP_WORDS = 1 << 18
+LOOKUP_WORDS = 1 << 20
 SWEEPS = 6
 #: Share of the class model; the rest is the base.
 SHARE = 0.9
@@ -451,6 +451,7 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.sum(F.when(beyond, F.col("times") * F.log10((count + 1) / model.base_size)).otherwise(0.0)).alias("more_base"),
         F.sum(F.col("times") * F.log10(chance)).alias("more_score"),
     )
+    met = scratch.settle(met)  # so the shuffles of the joins are gone before the next one
     out = scored.drop(*lists).join(met, "row", "left")
     base = F.when(F.lit(model.tokens == 0), 0.0).otherwise(F.col("base") + F.coalesce("more_base", F.lit(0.0)))
     score = F.when(F.lit(model.tokens == 0), 0.0).otherwise(F.col("score") + F.coalesce("more_score", F.lit(0.0)))
