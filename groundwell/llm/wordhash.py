@@ -23,7 +23,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = 0x9E3779B97F4A7C15
 #: Bytes of text handled at a time (a longer text is handled alone); bounds a worker's memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
