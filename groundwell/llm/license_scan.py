@@ -1,8 +1,9 @@
 """License detection by ordered signature rules, with DataFrame functions only.
 
 A text is lower-cased and reduced to its words, one space apart. Signature rules are regular
-expressions over that word string; each names a keyword, and a rule is tried only on texts that
-hold a word beginning with its keyword (and none on texts without any keyword). All places of all rules are intervals of
+expressions over that word string; each names a keyword (or several, one of which any match holds),
+and a rule is tried only on texts that have it among their words. One set intersection finds the
+keywords of a text, so that most texts meet no rule at all. All places of all rules are intervals of
 words. An interval that lies within one of the same or a higher priority is suppressed, so that a
 versioned or fully spelled name silences the short names inside it. Everything is linear in the
 text and its places: a text is split once a rule, positions come from running sums, suppression from
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 
 #: ASCII bytes that are neither letters nor digits, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+KELVIN = chr(0x212A)
 
 
 @dataclass(frozen=True)
@@ -178,7 +180,7 @@ SINGLE = (
     ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software", 3),
     ("wtfpl", "wtfpl", "wtfpl", 1),
     ("wtfpl", "want", "do what (?:the fuck )?you want to public licen[cs]e", 3),
-    ("beerware", "beer", "(?:the )?beer ?ware licen[cs]e", 2),
+    ("beerware", "beer|beerware", "(?:the )?beer ?ware licen[cs]e", 2),
     ("beerware", "beer", "you can buy me a beer in return", 3),
     ("json", "evil", "the software shall be used for good not evil", 3),
     ("openssl", "openssl", "openssl licen[cs]e", 2),
@@ -238,13 +240,13 @@ SINGLE = (
     ("elastic-2.0", "elastic", "elastic licen[cs]e", 2),
     ("commons-clause", "commons", "commons clause", 2),
     ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict|free trial|perimeter|internal use) licen[cs]e", 2),
-    ("openrail", "open", "(?:creativeml )?open ?rail(?: m)?(?: licen[cs]e)?", 2),
+    ("openrail", "open|openrail", "(?:creativeml )?open ?rail(?: m)?(?: licen[cs]e)?", 2),
     ("hippocratic", "hippocratic", "hippocratic licen[cs]e", 2),
     ("all-rights-reserved", "rights", "all rights reserved", 1),
     ("proprietary", "proprietary", "proprietary and confidential", 1),
     ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction) of this (?:file|software|material) .{0,40}is strictly prohibited", 2),
     ("proprietary", "trade", "contains trade secrets", 1),
-    ("noncommercial", "non", "for non ?commercial (?:use|purposes) only", 1),
+    ("noncommercial", "non|noncommercial", "for non ?commercial (?:use|purposes) only", 1),
     ("evaluation", "evaluation", "for evaluation purposes only", 1),
 )
 
@@ -275,27 +277,25 @@ def scan(docs: DataFrame, *, rules: list[Rule] | None = None, id_col: str = "doc
     """
     rules = signature_rules() if rules is None else rules
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    keywords = {}
+    keywords: dict[str, list[str]] = {}
     for k, rule in enumerate(rules):
         keywords.setdefault(rule.keyword, []).append(f"named_struct('k', {k}, 're', {quote(f'(?<= )(?:{rule.pattern})(?= )')})")
-    table = ", ".join(f"named_struct('word', {quote(f' {word}')}, 'rules', array({', '.join(of)}))" for word, of in sorted(keywords.items()))
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), letters, letters.lower())
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))
-    gate = F.lit(False)
-    for keyword in sorted(keywords):
-        gate = gate | F.contains(F.col("w"), F.lit(f" {keyword}"))
+    listed = lambda names: f"array({', '.join(map(quote, names))})"
+    table = ", ".join(f"named_struct('words', {listed(word.split('|'))}, 'rules', array({', '.join(of)}))" for word, of in sorted(keywords.items()))
+    # lower() maps one character outside A-Z to a letter from a to z, the Kelvin sign.
+    text = F.lower(F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(KELVIN), F.lit(chr(0xFFFD))))
+    every = sorted({w for word in keywords for w in word.split("|")})
     spaces = lambda x: f"length({x}) - length(replace({x}, ' ', ''))"
     # The text is split once a rule; the array of one binds the parts for all places of the rule.
     places = F.expr(
-        f"""flatten(transform(flatten(transform(filter(array({table}), g -> contains(w, g.word)), g -> g.rules)), r ->
+        f"""flatten(transform(flatten(transform(filter(array({table}), g -> arrays_overlap(g.words, found)), g -> g.rules)), r ->
             get(transform(array(named_struct('found', regexp_extract_all(w, r.re, 0), 'parts', split(w, r.re, -1))), x ->
              transform(x.found, (m, i) -> named_struct('k', r.k, 'i', i, 'gap', {spaces('get(x.parts, i)')}, 'inner', {spaces('m')}))), 0)))"""
     )
-    blank = F.col("w") == "  "
-    count = F.when(blank, 0).otherwise(F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1).cast("long")
-    base = docs.select(F.col(id_col).alias("id"), words.alias("w"))
-    base = base.select("id", F.monotonically_increasing_id().alias("row"), count.alias("n_words"), F.when(gate, places).alias("places"))
+    base = docs.select(F.col(id_col).alias("id"), F.array_remove(F.split(text, SEPARATORS), "").alias("ws"))
+    base = base.select("id", F.monotonically_increasing_id().alias("row"), "ws", F.array_intersect("ws", F.expr(listed(every))).alias("found"))
+    base = base.select("id", "row", F.size("ws").cast("long").alias("n_words"), "found", F.when(F.size("found") > 0, F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))).alias("w"))
+    base = base.select("id", "row", "n_words", F.when(F.col("w").isNotNull(), places).alias("places"))
     each = base.select("id", "row", "n_words", F.explode_outer("places").alias("p")).select("id", "row", "n_words", "p.k", "p.i", "p.gap", "p.inner")
     order = Window.partitionBy("row", "k").orderBy("i")
     start = F.sum(F.col("gap")).over(order) + F.coalesce(F.sum("inner").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1

@@ -143,7 +143,7 @@ def license_row(text, rules):
     line = " " + " ".join(w) + " "
     places = []
     for k, rule in enumerate(rules):
-        if f" {rule.keyword}" not in line:
+        if not set(rule.keyword.split("|")) & set(w):
             assert not re.search(f"(?<= )(?:{rule.pattern})(?= )", line)
             continue
         for m in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", line):
