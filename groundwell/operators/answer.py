@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import held
 from ..functions.text import cache_key, cited, strip
 from . import retrieve
 from .extract import CONTEXT_LIMIT, summarise
@@ -111,7 +112,7 @@ def answer(queries: DataFrame, chunks: DataFrame, config: AnswerConfig = AnswerC
         asked = two_stage(asked, "retrieval_query", stage2=stage2, low=low, high=high)
         asked = asked.withColumn("early", F.coalesce("early", F.when(F.col("zone") == "reject", "guard_v2_reject")))
     empty = chunks.limit(1).count() == 0
-    live = asked.where("early is null").withColumn("_search", rewrite(F.col("retrieval_query")) if rewrite is not None else F.col("retrieval_query"))
+    live = held(asked, F.col("early").isNull()).withColumn("_search", rewrite(F.col("retrieval_query")) if rewrite is not None else F.col("retrieval_query"))
     ranking = retrieve.ranked(chunks, live, retrieval=config.retrieval, k=config.k, depth=config.depth, per_document=config.per_document, as_of=as_of, scorer=scorer, question_col="_search")
     found = ranking.drop("document_id").join(chunks.select("chunk_id", "document_id", "title", "doc_type", "text"), "chunk_id")
     entry = F.struct("rank", "chunk_id", "document_id", "title", "doc_type", "text", "score")

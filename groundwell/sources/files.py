@@ -43,7 +43,7 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     raw = lambda c: F.try_variant_get(F.try_parse_json("value"), f"$.{c}", "variant")
     lists = [F.col(f"r.{c}").isNull() & F.get_json_object("value", f"$.{c}").isNotNull() for c in ("expected_sources", "golden_chunks")]
     kinds = [raw(c).isNotNull() & ~F.schema_of_variant(raw(c)).isin("STRING", "VOID") for c in ("question_id", "question", "golden_answer", "category")]
-    why = F.when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "malformed")
+    why = F.when(F.try_parse_json("value").isNull(), "malformed").when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), "a value has a wrong type")
     why = why.when(F.col("r.question_id").isNull() | F.col("r.question").isNull(), "question_id or question is missing")
     why = why.when(reduce(or_, [*texts, *lists, *kinds]), "a value has a wrong type")
     said = F.concat(F.lit("golden set "), F.col("file"), F.lit(", line "), (F.col("at") + 1).cast("string"), F.lit(": "), why)
