@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import bound_batches
+
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens kept with their ids in a worker; beyond it the memory starts anew.
 CACHE_ENTRIES = 300_000
@@ -129,6 +131,7 @@ def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: s
 
     vocabulary: path of a rank file, read on the driver and sent to the executors as a model.
     """
+    bound_batches(docs.sparkSession)
     ranks = read_ranks(vocabulary)
     order = sorted(ranks.values())
     shared = docs.sparkSession.sparkContext.broadcast((serialise_model(ranks), order))

@@ -21,6 +21,21 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BYTES, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes of an Arrow batch: long texts make batches of fewer rows.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_BYTES, unless it has a setting of its own.
+
+    A lazy result is computed after its operator returned, so the bound stays. Two workers and the JVM
+    hold several copies of a batch each; at Spark's 64 MB they take more than a small executor has.
+    """
+    if spark.conf.get(_BYTES) == _BYTES_DEFAULT:
+        spark.conf.set(_BYTES, BATCH_BYTES)
+
+
 def base_folder(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where the setting is absent and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         path = self._path(self.root)

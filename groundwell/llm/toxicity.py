@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .scratch import bound_batches
 
 BUCKETS = 1 << 19
 HEAD_BYTES = 5
@@ -125,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLAS
 
     The sampled ids (at most 2 * per_class) are broadcast; the driver receives their hashed words.
     """
+    bound_batches(docs.sparkSession)
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
     marks = marks.withColumn("_at", F.xxhash64(F.col("_id").cast("string")))
     picked = [marks.where(F.col("_toxic") == v).orderBy("_at", "_id").limit(per_class) for v in (0, 1)]
@@ -138,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = TRAIN_PER_CLAS
 
 def score(docs: DataFrame, model: SentenceModel, *, id_col: str = "doc_id", text_col: str = "text", locate: bool = False, at_least: float = 0.5) -> DataFrame:
     """(id, score) for each row; with locate also ``offending``: the sentences with a score of at_least or more."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -2,12 +2,15 @@
 
 import collections
 import itertools
+import math
 import re
 
+import numpy as np
 import regex
 
 from groundwell.llm import decontaminate as dc
-from groundwell.llm import license_scan
+from groundwell.llm import license_scan, toxicity
+from groundwell.llm import wordhash as wh
 
 
 def low(text):
@@ -153,3 +156,23 @@ def license_row(text, rules):
     base = [p for p in places if rules[p[3]].base]
     labels = {rules[p[3]].label for p in base + left}
     return (len(w), len(base), min((p[0] for p in base), default=None), max((p[0] for p in base), default=None), ",".join(sorted({rules[p[3]].label for p in base})), ",".join(sorted(labels)), 1 - 2.0 ** -sum(p[2] for p in left))
+
+
+def sentence_scores(text, model):
+    """The probability of each sentence, in plain Python."""
+    out = []
+    for part in re.split(rb"[.!?\n]", (text or "").encode()):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+", part)
+        if tokens:
+            z = model.bias
+            for w in tokens:
+                own = word_hash(w) % toxicity.BUCKETS
+                head = int(wh.mix(np.array([word_hash(w[: toxicity.HEAD_BYTES]) + 1 & (1 << 64) - 1], np.uint64))[0]) % toxicity.BUCKETS
+                z += float(model.weights[own]) + float(model.weights[head])
+            out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+    return out
+
+
+def word_hash(raw):
+    data = np.frombuffer(raw, np.uint8)
+    return int(wh.word_hashes(data, np.array([0]), np.array([len(data)]))[0])

@@ -27,11 +27,6 @@ def documents(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
 
 
-def word_hash(word):
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(wh.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
-
-
 def test_suffix_order():
     rng = random.Random(1)
     for _ in range(400):
@@ -135,7 +130,7 @@ def test_language_scores_token_by_token(spark, documents):
             for w in [*brute.words(t), None]:
                 count[w] = count.get(w, 0) + 1
     total, distinct = sum(count.values()), len(count)
-    hashes = {w: word_hash(w) for w in count if w is not None}
+    hashes = {w: brute.word_hash(w.encode()) for w in count if w is not None}
     end, unseen = 9, 8
     table = np.zeros((10, 10))
     class_of = lambda w: end if w is None else cls[hashes[w]] if w in hashes else unseen
@@ -161,26 +156,6 @@ def test_language_scores_token_by_token(spark, documents):
         assert r.score == pytest.approx(want)
 
 
-def sentence_scores(text, model):
-    """The probability of each sentence, in plain Python."""
-    out = []
-    for part in re.split(rb"[.!?\n]", (text or "").encode()):
-        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+", part)
-        if tokens:
-            z = model.bias
-            for w in tokens:
-                own = word_hash_of(w) % toxicity.BUCKETS
-                head = int(wh.mix(np.array([word_hash_of(w[: toxicity.HEAD_BYTES]) + 1 & (1 << 64) - 1], np.uint64))[0]) % toxicity.BUCKETS
-                z += float(model.weights[own]) + float(model.weights[head])
-            out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
-    return out
-
-
-def word_hash_of(raw):
-    data = np.frombuffer(raw, np.uint8)
-    return int(wh.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
-
-
 @needs_tables
 def test_toxicity_by_plain_noisy_or(spark, documents):
     docs, labels = spark.createDataFrame(documents + [(None, "x. y"), (-1, "")], SCHEMA), spark.read.parquet(f"{SMALL}/labels.parquet")
@@ -188,7 +163,7 @@ def test_toxicity_by_plain_noisy_or(spark, documents):
     texts = dict(documents) | {None: "x. y", -1: ""}
     for r in toxicity.toxicity(docs, labels).collect():
         if len(texts[r.doc_id] or "") < 5000:
-            clean = math.prod(1 - p for p in sentence_scores(texts[r.doc_id], model))
+            clean = math.prod(1 - p for p in brute.sentence_scores(texts[r.doc_id], model))
             assert r.score == pytest.approx(1 - clean, abs=1e-5) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
