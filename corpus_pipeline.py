@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
 last return the columns of ``documents``. The line stage drops documents of which no line is left,
 unless they were blank already; the near-duplicate stage keeps the smallest id of each group.
+
+Defined cases, beside those of the operators: an empty table stays empty; null and empty texts pass every
+stage; rows that repeat an id share its fate in the near-duplicate and decontamination stages and are
+judged one by one in the others; null ids pass; columns that ``documents`` has beside its own pass
+through unchanged, whatever their names; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -20,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
-    return out.where("n_removed = 0 or trim(text) <> ''").select(*docs.columns)
+    # Columns of the documents that are named like the counts keep their values.
+    aside = {c: f"{c} of the input" for c in docs.columns if c in ("n_lines", "n_kept", "n_removed")}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(aside)).where("n_removed = 0 or trim(text) <> ''").drop("n_lines", "n_kept", "n_removed")
+    out = out.withColumnsRenamed({new: old for old, new in aside.items()})
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from groundwell import queries as core
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +17,7 @@ def plain(value):
     return round(value, 5) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
+@pytest.mark.parametrize("name", sorted(core.ORACLE))  # those of the training-data operators have tests of their own
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
