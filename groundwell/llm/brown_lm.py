@@ -35,7 +35,7 @@ from .scratch import Scratch
 
 EXCHANGE_WORDS = 2048
 CLASSES = 64
-LOOKUP_WORDS = 1 << 20
+LOOKUP_WORDS = 1 << 19
 SWEEPS = 6
 #: Share of the class model; the rest is the base.
 SHARE = 0.9
