@@ -113,9 +113,20 @@ def paragraph_packing(spark, folder):
     return chunk.chunk_paragraphs(docs).select("doc_id", "chunk_index", "text")
 
 
-@query()
+#: A heading, a table, prose, a glossary line and a sub-heading around the beginning of each document.
+_PROSE = "regexp_replace(translate(left(text, 200), chr(10) || ':|#', '    '), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_PROSE} AS prose FROM documents),
+p AS (SELECT doc_id, unnest([{{'k': 'table', 't': '{{"columns": ["a", "b"], "rows": [{{"a": "' || doc_id || '", "b": "x"}}]}}'}}, {{'k': 'text', 't': 'Part ' || doc_id || chr(10) || chr(10) || prose}},
+  {{'k': 'glossary', 't': '[{{"term": "Limit", "definition": "at most ' || doc_id || '"}}]'}}, {{'k': 'text', 't': 'Part ' || doc_id || ' > Sub' || chr(10) || chr(10) || 'tail ' || doc_id}}]) AS x, generate_subscripts([1, 2, 3, 4], 1) AS i FROM d WHERE prose <> '')
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, doc_id || '::' || (i - 1) AS chunk_id, x.k AS content_type, x.t AS text FROM p""")
 def structural_chunks(spark, folder):
-    return chunk.chunk_structural(_t(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_id", "content_type", F.length("text").alias("n_chars"))
+    prose = F.regexp_replace(F.translate(F.substring("text", 1, 200), "\n:|#", "    "), r"^\s+|\s+$", "")
+    docs = _t(spark, folder, "documents").select("doc_id", prose.alias("prose")).where("prose <> ''")
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# Part "), i, F.lit("\n\n| a | b |\n| --- | --- |\n| "), i, F.lit(" | x |\n\n"), F.col("prose"), F.lit("\n\nLimit: at most "), i, F.lit("\n## Sub\ntail "), i)
+    return chunk.chunk_structural(docs.select("doc_id", text.alias("text"))).select("doc_id", "chunk_index", "chunk_id", "content_type", "text")
 
 
 _PLAIN = [s for s in mask.STAGES if s[0] in (mask.EMAIL, mask.TOKEN)] + [(mask.IP, mask.IPV4_PATTERN, None)]
@@ -299,9 +310,17 @@ def guard_zone(spark, folder):
     return guard.rule_score(_probed(spark, folder)).select("doc_id", zone.alias("zone"))
 
 
-@query()
+#: Zero-width characters, look-alikes, delimiters and repeated marks, put around the documents; NFC equals NFKC on these texts.
+_ODD = ("​Аvе ", " [SYSTEM]--- ok", "!!!!??")
+
+
+@query(f"""WITH d AS (SELECT doc_id, '{_ODD[0]}' || text || '{_ODD[1]}{_ODD[2]}' AS t FROM documents),
+f AS (SELECT doc_id, t, regexp_replace(translate(regexp_replace(nfc_normalize(t), '[{guard.ZERO_WIDTH}]', '', 'g'), '{guard.LOOKALIKES[0]}', '{guard.LOOKALIKES[1]}'), '{guard.DELIMITERS}', '', 'g') AS u FROM d),
+n AS (SELECT doc_id, t, {"regexp_replace(" * 6}u{"".join(f", '{p}{{3,}}', '{q}', 'g')" for p, q in (('!', '!'), ('[?]', '?'), ('[.]', '.'), (',', ','), (';', ';'), (':', ':')))} AS v FROM f)
+SELECT doc_id, v AS normalised, CAST(length(t) AS INTEGER) AS raw_length, CAST(length(v) AS INTEGER) AS normalised_length, CAST(abs(length(t) - length(v)) AS INTEGER) AS drift FROM n""")
 def normalised_text(spark, folder):
-    return guard.normalise(_t(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "normalised", "raw_length", "normalised_length", "drift")
+    docs = _t(spark, folder, "documents").select("doc_id", F.concat(F.lit(_ODD[0]), F.col("text"), F.lit(_ODD[1] + _ODD[2])).alias("text"))
+    return guard.normalise(docs).select("doc_id", "normalised", "raw_length", "normalised_length", "drift")
 
 
 def _samples(spark, folder) -> DataFrame:
