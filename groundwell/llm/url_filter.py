@@ -85,15 +85,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def ngram_buckets(host: Column, path: Column, sizes=(3, 4, 5), buckets: int = BUCKETS) -> Column:
-    """Bucket of each character n-gram of "^host|path$", repeats included."""
-    text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
-    def of_size(size: int) -> Column:
+    """Bucket of each character n-gram of "^host|path$", repeats included.
+
+    The characters are one bound array: to cut n-grams from the text takes a walk from its start for each.
+    """
+    characters = F.array_remove(F.split(F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$")), ""), "")
+
+    def of_size(held: Column, size: int) -> Column:
         # "^", "|" and "$" give three characters at least; sizes beyond the text yield nothing.
-        last = F.length(text) - size + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(size))), F.lit(buckets)).cast("int"))
+        last = F.size(held) - size + 1
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.array_join(F.slice(held, i, F.lit(size)), "")), F.lit(buckets)).cast("int"))
         return F.when(last >= 1, grams).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.array(*map(of_size, sizes)))
+    return F.get(F.transform(F.array(characters), lambda held: F.flatten(F.array(*(of_size(held, size) for size in sizes)))), 0)
 
 
 def train(labelled: DataFrame, *, buckets: int = BUCKETS, rounds: int = 120, rate: float = 2.0, decay: float = 1e-3) -> tuple[list[float], float]:
