@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
+
 
 @dataclass(frozen=True)
 class Embedder:
@@ -50,6 +52,16 @@ def null_embedder() -> Embedder:
     return Embedder(lambda: lambda texts: [[1.0]] * len(texts), version="none")
 
 
+EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hash": hash_embedder, "none": null_embedder}
+
+
+def embedder_of(name: str) -> Embedder:
+    """The embedder registered in EMBEDDERS under a name; add to it what a site has."""
+    if name not in EMBEDDERS:
+        raise ConfigError(f"unknown embedder {name!r}; known: {', '.join(EMBEDDERS)}")
+    return EMBEDDERS[name]()
+
+
 def embed(df: DataFrame, embedder: Embedder, *, kind: str = "passage", text_col: str = "text", vector_col: str = "vector") -> DataFrame:
     """``df`` with vector_col: the embedding of the text at length 1, null for a null or blank text.
 

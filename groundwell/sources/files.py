@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SourceError
+from ..errors import SourceError, StoreError
 from ..operators.ingest import TEXT_SUFFIXES, unique_ids, upload_reject
 
 GOLDEN = "question_id string, question string, expected_sources array<string>, golden_chunks array<string>, golden_answer string, category string"
@@ -92,7 +92,10 @@ def reset_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks with defaults for columns that older files lack."""
+    """Chunks with defaults for columns that older files lack; files that were replaced since an earlier read are listed anew."""
+    if not exists(spark, path):
+        raise StoreError(f"no chunk table at {path}")
+    spark.catalog.refreshByPath(path)
     out = spark.read.option("mergeSchema", "true").parquet(path)
     defaults = {"content_type": F.lit("text"), "obsolete": F.lit(False), "access_tags": F.array().cast("array<string>")}
     return out.withColumns({c: F.coalesce(F.col(c), d) if c in out.columns else d for c, d in defaults.items()})
