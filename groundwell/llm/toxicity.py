@@ -30,7 +30,7 @@ from .scratch import bound_batches
 BUCKETS = 1 << 19
 HEAD_BYTES = 5
 TRAIN_PER_CLASS = 2500
-TRAIN_BYTES = 1 << 16
+TRAIN_BYTES = 1 << 14
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
