@@ -75,6 +75,40 @@ def _word_keys(data, bounds):
     return np.concatenate([wh.word_hashes(data, starts, ends), np.full(len(bounds) - 1, END_HASH, np.uint64)])
 
 
+class Places:
+    """The places of hashes in a sorted table, by their leading bits: a look-up meets two entries or so, where a search halves the table."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(1, len(table).bit_length())
+        self._table, self._shift = np.append(table, np.uint64(0)), np.uint64(64 - bits)
+        self._begin = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
+        self._begin = np.append(self._begin, np.int32(len(table)))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for one that is not in the table."""
+        out = np.full(len(words), -1)
+        head = words >> self._shift
+        at, end = self._begin[head], self._begin[head + np.uint64(1)]
+        left = np.flatnonzero(at < end)
+        at, end, sought = at[left], end[left], words[left]
+        while len(left):
+            hit = self._table[at] == sought
+            out[left[hit]] = at[hit]
+            at = at + 1
+            on = ~hit & (at < end)
+            left, at, end, sought = left[on], at[on], end[on], sought[on]
+        return out
+
+
+def _places(table) -> Places:
+    """The look-up of a table's hashes, made once in a worker and never sent."""
+    made = getattr(table, "_made", None)
+    if made is None:
+        made = Places(table.hashes)
+        object.__setattr__(table, "_made", made)
+    return made
+
+
 @dataclass(frozen=True)
 class Lookup:
     """The most frequent words: sorted hashes, counts and exchange index (``rare`` for words without)."""
@@ -88,9 +122,7 @@ class Lookup:
         """(exchange index, place in the table or -1) of each word."""
         if not len(self.hashes):
             return np.full(len(words), self.rare, np.int32), np.full(len(words), -1)
-        place = np.searchsorted(self.hashes, words)
-        np.minimum(place, len(self.hashes) - 1, out=place)
-        place[self.hashes[place] != words] = -1
+        place = _places(self).of(words)
         return np.where(place >= 0, self.index[place], self.rare).astype(np.int32), place
 
     def tokens(self, data, bounds):
@@ -157,11 +189,7 @@ class Classed:
         """(place in the table or -1, class and hash of each token with an end after each text, ends, texts' tokens)."""
         starts, ends, upto = wh.word_spans(data, bounds)
         words = wh.word_hashes(data, starts, ends)
-        place = np.full(len(words), -1)
-        if len(self.hashes) and len(words):
-            place = np.searchsorted(self.hashes, words)
-            np.minimum(place, len(self.hashes) - 1, out=place)
-            place[self.hashes[place] != words] = -1
+        place = _places(self).of(words)
         cls = np.where(place >= 0, self.cls[place] if len(self.cls) else 0, -1)
         put = lambda x, end: np.insert(x, upto[1:], end)
         return put(place, -1), put(cls, self.classes + 1), put(words, np.uint64(END_HASH)), upto
@@ -198,8 +226,10 @@ def _tally(columns: list[np.ndarray]) -> list[np.ndarray]:
     mixed = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         mixed = wh.mix(mixed * np.uint64(0xC2B2AE3D27D4EB4F) + c.astype(np.int64, copy=False).view(np.uint64) if c.dtype != np.uint64 else mixed * np.uint64(0xC2B2AE3D27D4EB4F) + c)
-    _, first, times = np.unique(mixed, return_index=True, return_counts=True)
-    return [*(c[first] for c in columns), times]
+    order = np.argsort(mixed)  # any of equal rows stands for them, so the order need not be stable
+    mixed = mixed[order]
+    first = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1])[: len(mixed)])
+    return [*(c[order[first]] for c in columns), np.diff(np.append(first, len(mixed)))]
 
 
 def _tally_batch(parts: list[list[np.ndarray]], names: list[str]):
@@ -207,9 +237,11 @@ def _tally_batch(parts: list[list[np.ndarray]], names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=names)
 
 
-def _neighbours(lookup: Lookup, cls: np.ndarray, total: int, limit: int = 1_500_000):
+def _neighbours(lookup: Lookup, cls: np.ndarray, total: int, limit: int = 4_000_000):
     """(key, code, count) of each word outside the exchange: code d for the class d before it, total + d after it, 2 * total for itself before it."""
 
+    narrow = np.uint8 if 2 * total < 256 else np.int32
+
     def run(batches):
         parts, held = [], 0
         for batch in batches:
@@ -224,7 +256,7 @@ def _neighbours(lookup: Lookup, cls: np.ndarray, total: int, limit: int = 1_500_
                 again = (words[at - 1] == h) & (at > 0)
                 left = np.where(again, 2 * total, np.where(at > 0, d[at - 1], total - 1))
                 other = words[at + 1] != h
-                parts.append([np.concatenate([h, h[other]]), np.concatenate([left, total + d[at + 1][other]])])
+                parts.append([np.concatenate([h, h[other]]), np.concatenate([left, total + d[at + 1][other]]).astype(narrow)])
                 held += len(parts[-1][0])
                 if held >= limit:
                     yield _tally_batch(parts, ["key", "code", "count"])
